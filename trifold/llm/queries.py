@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trifold.llm import hilbert, packing, tokenbits
+from trifold.llm import decontam, hilbert, neardup, packing, sketch, tokenbits
 from trifold.llm.common import table
 
 
@@ -17,9 +17,21 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbits.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op4_best_fit_packing, op7_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op4_best_fit_packing, op5_benchmark_decontamination, op7_token_files, op8_scaled_fingerprints, op9_near_duplicates)}
+ORACLE_SQL: dict[str, str] = {"op5_benchmark_decontamination": decontam.ORACLE_SQL}
