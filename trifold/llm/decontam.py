@@ -90,16 +90,16 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = 5, perc
 
 ORACLE_SQL = r"""
 WITH item_words AS (
-  SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), w -> w <> '') AS w FROM benchmark
+  SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark
 ), item_shingles AS (
-  SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))) AS s
+  SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s
   FROM item_words WHERE len(w) >= 5
 ), items AS (
   SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id
 ), doc_words AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), w -> w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents
 ), doc_shingles AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
   FROM doc_words WHERE len(w) >= 5
 ), shared AS (
   SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (s) GROUP BY ALL
