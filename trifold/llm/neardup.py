@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     reps = cut(reps, "classes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * rows + 1, F.lit(rows))))
     banded = reps.select("cid", F.explode(keys).alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("cid").alias("p"), F.min_by("cid", F.xxhash64("cid", "key")).alias("q"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    buckets = banded.groupBy("key").agg(F.min("cid").alias("p"), F.min_by("cid", F.xxhash64("cid")).alias("q"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = cut(buckets, "buckets")
     held = cut(banded.join(maybe_broadcast(buckets, buckets.count()), "key"), "members")
 
