@@ -42,7 +42,7 @@ def shingle_hashes(words: Column, size: int) -> Column:
 
 
 def shingle_texts(words: Column, size: int) -> Column:
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(size)]))
     return F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<string>"))
 
 
