@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     reps = all_rows.filter("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     reps = cut(reps, "classes")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * rows + 1, F.lit(rows))))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, *[F.get("signature", k * rows + j) for j in range(rows)]))
     banded = reps.select("cid", F.explode(keys).alias("key"))
     buckets = banded.groupBy("key").agg(F.min("cid").alias("p"), F.min_by("cid", F.xxhash64("cid")).alias("q"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = cut(buckets, "buckets")
