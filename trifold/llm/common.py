@@ -75,6 +75,11 @@ def range_bucket(column: Column, splits: list[float]) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once: a lambda variable holds it, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def salted(count: int, *columns: Column) -> Column:
     """A repeatable group number below count: a hash of key columns, so a retried task makes the same groups."""
     return F.pmod(F.xxhash64(*columns), F.lit(count)).cast("int")

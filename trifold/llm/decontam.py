@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trifold.llm.common import cut, maybe_broadcast
+from trifold.llm.common import cut, let, maybe_broadcast
 
 
 def word_list(text: Column) -> Column:
@@ -73,7 +73,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent:
 
     ids = candidates.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(maybe_broadcast(ids, ids.count()), "doc_id")
-    whole = texts.select("doc_id", F.array_distinct(shingle_texts(word_list(F.col("text")), size)).alias("has"))
+    whole = texts.select("doc_id", let(word_list(F.col("text")), lambda w: F.array_distinct(shingle_texts(w, size))).alias("has"))
     items = benchmark.select("item_id", word_list(F.col("text")).alias("words")).filter(F.size("words") >= size)
     items = items.select("item_id", F.array_distinct(shingle_texts(F.col("words"), size)).alias("shingles"))
     pairs = candidates.join(items, "item_id").join(whole, "doc_id")
