@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trifold.llm import decontam, hilbert, neardup, packing, sketch, tokenbits
+from trifold.llm import decontam, hilbert, neardup, packing, pii, quality_fm, sketch, tokenbits, toxicity
 from trifold.llm.common import table
 
 
+def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -21,6 +29,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbits.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,5 +45,5 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op4_best_fit_packing, op5_benchmark_decontamination, op7_token_files, op8_scaled_fingerprints, op9_near_duplicates)}
+QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("op")}
 ORACLE_SQL: dict[str, str] = {"op5_benchmark_decontamination": decontam.ORACLE_SQL}
