@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trifold.llm import decontam, hilbert, neardup, packing, pii, quality_fm, sketch, tokenbits, toxicity
+from trifold.llm import decontam, hilbert, licences, neardup, packing, pii, quality_fm, sketch, tokenbits, toxicity
 from trifold.llm.common import table
 
 
@@ -45,5 +45,9 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op10_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("op")}
 ORACLE_SQL: dict[str, str] = {"op5_benchmark_decontamination": decontam.ORACLE_SQL}
