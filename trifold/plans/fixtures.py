@@ -95,7 +95,7 @@ def operation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOG_SQL = """
 log AS (
-  SELECT epoch_ms(ts) AS ts, event_id AS seq, 'agent' || user_id AS agent_id, 'entity' || (CAST(floor(value) AS BIGINT) % 50) AS entity_id,
+  SELECT epoch_us(ts) // 1000 AS ts, event_id AS seq, 'agent' || user_id AS agent_id, 'entity' || (CAST(floor(value) AS BIGINT) % 50) AS entity_id,
          CASE event_type WHEN 'signup' THEN 'register' WHEN 'view' THEN 'heartbeat' WHEN 'click' THEN 'claim' WHEN 'error' THEN 'release' ELSE 'modify' END AS op,
          md5(props) AS payload
   FROM events)
