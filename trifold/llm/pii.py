@@ -140,10 +140,10 @@ def disclosing_terms(docs: DataFrame, based: DataFrame, alpha: float = 0.95, sup
     sentences = docs.select(F.explode_outer(F.split("text", SENTENCE)).alias("sentence")).filter("sentence is not null")
     words = sentences.select(F.xxhash64("sentence").alias("of"), F.explode_outer(F.array_distinct(F.split(F.lower("sentence"), r"[^\p{L}]+"))).alias("term"))
     counted = words.join(maybe_broadcast(wanted, wanted.count()), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = sentences.agg(F.approx_count_distinct(F.xxhash64("sentence"), 0.02).alias("total"))
-    rated = together.join(counted, "term").crossJoin(F.broadcast(total))  # one row
-    pmi = F.log2(F.col("n_te") * F.col("total") / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    ratio = pmi / F.log2(F.col("total") / F.col("n_e"))
+    total = F.lit(sentences.agg(F.approx_count_distinct(F.xxhash64("sentence"), 0.02)).first()[0])
+    rated = together.join(counted, "term")
+    pmi = F.log2(F.col("n_te") * total / (F.greatest("n_t", "n_te") * F.col("n_e")))
+    ratio = pmi / F.log2(F.greatest(total / F.col("n_e"), F.lit(1.0 + 1e-9)))
     return rated.select("entity", "term", ratio.alias("ratio"), (F.col("n_t") <= F.col("n_te")).alias("alone")).filter(F.col("ratio") >= alpha)
 
 
