@@ -57,3 +57,16 @@ def warning_text(kind, entity_type, name, related_type, related):
     plain = F.format_string("warning: %s `%s` was modified and %s %s `%s` which was also modified", entity_type, name, middle, related_type, related)
     failed = F.format_string("warning: merged output for `%s` failed to parse — result may be syntactically broken", name)
     return F.when(kind == "parse_failed_after_merge", failed).otherwise(plain)
+
+
+def build_edges(entities: DataFrame) -> DataFrame:
+    """(src, dst) where the content of src names the entity dst; an entity's own members and parent don't count.
+
+    `entities` is files.entity_table: identifiers are taken from each content and
+    joined with the entities of that name, so the work follows the words, not pairs.
+    """
+    words = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)))
+    named = entities.select("entity_id", F.coalesce("parent_id", F.lit("")).alias("parent"), F.col("name").alias("own"), F.explode(words).alias("name"))
+    targets = entities.select(F.col("entity_id").alias("dst"), "name", F.coalesce("parent_id", F.lit("")).alias("dst_parent"))
+    found = named.filter("name <> own").join(targets, "name").filter("entity_id <> dst and parent <> dst and dst_parent <> entity_id")
+    return found.select(F.col("entity_id").alias("src"), "dst").distinct()
