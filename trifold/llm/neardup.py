@@ -45,6 +45,8 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Members of one block of a bucket; two blocks' signatures are held by a task.
 BLOCK = 1500
+#: Pairs whose signatures are compared at once.
+PAIRS = 50_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -194,15 +196,21 @@ def across(members: DataFrame, count: int, bounds: list[int], batch: int, percen
     """Within each (key, left, right) block pair: pairs of different components that stay after the bounds."""
 
     def pairs_of(block, n, comp, ids, sig, left, right) -> pa.RecordBatch:
-        if left == right:
-            i, j = np.triu_indices(len(ids), 1)
-        else:
-            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(block == left), np.flatnonzero(block == right), indexing="ij"))
-        near = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-        i, j = i[near], j[near]
-        found = [surviving(sig, sig, i[at : at + 100_000], j[at : at + 100_000], bounds, batch) + at for at in range(0, len(i), 100_000)]
-        k = np.concatenate(found) if found else np.empty(0, np.int64)
-        a, b = ids[i[k]], ids[j[k]]
+        """Strips of rows against the rest, so that few pairs are held at once."""
+        ours = np.arange(len(ids)) if left == right else np.flatnonzero(block == left)
+        theirs = ours if left == right else np.flatnonzero(block == right)
+        strip = max(1, PAIRS // max(1, len(theirs)))
+        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, len(ours), strip):
+            i, j = (x.ravel() for x in np.meshgrid(ours[at : at + strip], theirs, indexing="ij"))
+            near = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            if left == right:
+                near &= i < j
+            i, j = i[near], j[near]
+            k = surviving(sig, sig, i, j, bounds, batch)
+            found_a.append(ids[i[k]])
+            found_b.append(ids[j[k]])
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
