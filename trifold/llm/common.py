@@ -87,11 +87,4 @@ def salted(count: int, *columns: Column) -> Column:
 
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches by bytes as well as by rows, so that very long texts can't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-
-
-def unsplit_bytes(spark: SparkSession) -> int:
-    """Shuffled bytes one task is meant to read."""
-    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m").lower().rstrip("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    return int(float(size[:-1]) * units[size[-1]]) if size[-1] in units else int(size)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")

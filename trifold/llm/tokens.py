@@ -25,7 +25,7 @@ _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SIGN_SET = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: A word with the space before it, or white space as the byte-level layout groups it.
 _RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_GENERATION = 120_000
+_GENERATION = 80_000
 
 
 def _byte_letters() -> list[str]:
