@@ -80,6 +80,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where df has a column so called (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def salted(count: int, *columns: Column) -> Column:
     """A repeatable group number below count: a hash of key columns, so a retried task makes the same groups."""
     return F.pmod(F.xxhash64(*columns), F.lit(count)).cast("int")

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trifold.llm.common import cut, let, maybe_broadcast
+from trifold.llm.common import cut, fresh, let, maybe_broadcast
 
 KINDS = ("email", "ip", "card", "phone")
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -170,7 +170,7 @@ def detect(docs: DataFrame, **options) -> DataFrame:
 def replaced(text: Column, pattern: str, new) -> Column:
     """text with each match m of the pattern replaced by new(m), linear in its length."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.concat(gap, F.coalesce(new(m), F.lit(""))))
+    both = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.concat(gap, F.when(m.isNotNull(), new(m)).otherwise(F.lit(""))))
     return F.array_join(both, "")
 
 
@@ -189,13 +189,14 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
     """docs with its columns, personal data and disclosing terms replaced in text; n_chars follows where it is a column."""
     based = found_base(docs)
     terms = document_terms(docs, based, **options)
-    joined_terms = docs.join(terms.select(F.col("doc_id").alias("__of"), F.col("terms").alias("__terms"), F.col("alone").alias("__alone")), F.col("doc_id") == F.col("__of"), "left")
+    of, generalised, removed = fresh(docs, "__of", "__terms", "__alone")
+    joined_terms = docs.join(terms.select(F.col("doc_id").alias(of), F.col("terms").alias(generalised), F.col("alone").alias(removed)), docs["doc_id"] == F.col(of), "left")
     text = F.col("text")
     for kind in KINDS:
         text = let(text, tagging(kind))
     # a tag's word is matched with its brackets, and so is no term
-    word = lambda m: F.when(F.array_contains("__alone", F.lower(m)), F.lit("")).when(F.array_contains("__terms", F.lower(m)), F.lit("[TERM]")).otherwise(m)
-    whole = let(text, lambda t: F.when(F.col("__terms").isNull(), t).otherwise(replaced(t, r"\[(?:EMAIL|IP|CARD|PHONE)\]|[\p{L}]++", word)))
+    word = lambda m: F.when(F.array_contains(removed, F.lower(m)), F.lit("")).when(F.array_contains(generalised, F.lower(m)), F.lit("[TERM]")).otherwise(m)
+    whole = let(text, lambda t: F.when(F.col(generalised).isNull(), t).otherwise(replaced(t, r"\[(?:EMAIL|IP|CARD|PHONE)\]|[\p{L}]++", word)))
     out = joined_terms.withColumn("text", whole)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
