@@ -37,5 +37,5 @@ def matrix(cases: DataFrame) -> DataFrame:
 
 def false_conflict_reduction(cases: DataFrame) -> DataFrame:
     """One row: clean merges of either kind and the share of line-merge conflicts that went away."""
-    out = cases.agg(F.count(F.lit(1)).alias("scenarios"), F.count_if("ours_clean").alias("ours_clean"), F.count_if("line_clean").alias("line_clean"), F.count_if("ours_clean and not line_clean").alias("gone"))
+    out = cases.agg(F.count(F.lit(1)).alias("scenarios"), F.count_if("ours_clean").alias("ours_clean"), F.count_if("line_clean").alias("line_clean"), F.count_if(F.col("ours_clean") & ~F.col("line_clean")).alias("gone"))
     return out.withColumn("reduction", F.coalesce(F.try_divide(F.col("gone"), F.col("scenarios") - F.col("line_clean")), F.lit(0.0))).drop("gone")
