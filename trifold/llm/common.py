@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,15 @@ def salted(count: int, *columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(count)).cast("int")
 
 
+def release_memory() -> None:
+    """Give freed memory of this Python worker back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches by bytes as well as by rows, so that very long texts can't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trifold.llm.common import bound_batches, cut, salted
+from trifold.llm.common import bound_batches, cut, release_memory, salted
 from trifold.llm.tokens import encoder
 
 
@@ -84,6 +84,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, tokens: int) -> Dat
                     start, stop = stop, stop + tokens
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release_memory()
 
     bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trifold.llm.common import bound_batches, cut, drop_shared, quantile_splits, range_bucket, write_shared
+from trifold.llm.common import bound_batches, cut, drop_shared, quantile_splits, range_bucket, release_memory, write_shared
 from trifold.llm.tokens import encoder
 
 MAGIC, VERSION, BLOCK_IDS = 0x54464249, 1, 4096
@@ -124,11 +124,12 @@ def encode_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             if narrow:
                 found = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["bucket"], pa.array(found, pa.binary())], ["doc_id", "bucket", "ids"])
+        release_memory()
 
     return docs.select("doc_id", "bucket", "text").mapInArrow(run, "doc_id long, bucket int, ids binary")
 
 
-def write_segments(docs: DataFrame, tokenizer: str, end_id: int, segment_ids: int = 1 << 20, bucket_docs: int = 50_000) -> str:
+def write_segments(docs: DataFrame, tokenizer: str, end_id: int, segment_ids: int = 1 << 19, bucket_docs: int = 50_000) -> str:
     """Encode docs and write segments in ascending doc_id order; returns the table's path.
 
     Buckets are runs of doc_id of about bucket_docs rows; their borders come from
@@ -169,6 +170,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int, segment_ids: in
                 total += len(ids[-1])
         if ids:
             yield close()
+        release_memory()
 
     ordered = encode_ids(placed, tokenizer, end_id).repartition(min(buckets, 4096), "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
     return write_shared(ordered.mapInArrow(run, "bucket int, segment int, n_ids long, n_docs long, image binary"), "segments")

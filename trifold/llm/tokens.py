@@ -15,6 +15,8 @@ import re
 from array import array
 from collections.abc import Callable
 
+from trifold.llm.common import release_memory
+
 #: Characters whose class (letter, digit, other) and lower case are the same in every Unicode version.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIGNS = r"!-/:-@\[-`{-~"
@@ -25,7 +27,7 @@ _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SIGN_SET = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: A word with the space before it, or white space as the byte-level layout groups it.
 _RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_GENERATION = 80_000
+_GENERATION = 100_000
 
 
 def _byte_letters() -> list[str]:
@@ -51,6 +53,16 @@ class _Memory(dict):
         return ids
 
 
+def _layout(path: str) -> dict:
+    """The tokenizer file without its model, whose vocabulary would take tens of MB as Python objects."""
+    with open(path, encoding="utf-8") as f:
+        head, model, rest = f.read().partition('"model"')
+    try:
+        return json.loads(head.rstrip().rstrip(",") + "}")
+    except ValueError:
+        return json.loads(head + model + rest)
+
+
 class _Odd(Exception):
     """A piece with white space inside, or an empty one: the text takes the general way."""
 
@@ -62,8 +74,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            layout = json.load(f)
+        layout = _layout(path)
         before, normal = layout["pre_tokenizer"] or {}, layout["normalizer"] or {}
         steps = [x["type"] for x in normal.get("normalizers", [])]
         pieces = [x["type"] for x in before.get("pretokenizers", [])]
@@ -129,7 +140,9 @@ class Encoder:
         return self.tokenizer.get_vocab_size(with_added_tokens=True) - 1
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker, kept between tasks."""
-    return Encoder(path)
+    made = Encoder(path)
+    release_memory()
+    return made
