@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trifold.llm.common import bound_batches, cut, release_memory, salted
-from trifold.llm.tokens import encoder
+from trifold.llm.tokens import encoder, forget_encoder
 
 
 def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, weights=(1.0, 0.05, 0.05), rule: str = "residual_norm"):
@@ -95,6 +95,7 @@ def pack(pieces: DataFrame, tokens: int, documents: int, attention: int, rule: s
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        forget_encoder()
         group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = best_fit(group["length"].to_numpy(), tokens, documents, attention, rule=rule)
         return group.assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]].astype({"doc_id": "Int64"})

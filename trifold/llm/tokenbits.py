@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trifold.llm.common import bound_batches, cut, drop_shared, quantile_splits, range_bucket, release_memory, write_shared
-from trifold.llm.tokens import encoder
+from trifold.llm.tokens import encoder, forget_encoder
 
 MAGIC, VERSION, BLOCK_IDS = 0x54464249, 1, 4096
 NO_ID = -(1 << 63)
@@ -147,6 +147,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int, segment_ids: in
     held = "<u2" if largest < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()
         now, number = None, 0
         doc_ids, ids, total = [], [], 0
 
@@ -189,6 +190,7 @@ def read_segments(spark, path: str) -> DataFrame:
     offsets = sizes.join(of_bucket, "bucket").select("bucket", "segment", (F.col("base") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()
         for batch in batches:
             for bucket, number, image in zip(batch["bucket"].to_pylist(), batch["segment"].to_pylist(), batch["image"], strict=True):
                 one = Segment(image.as_py())

@@ -146,3 +146,9 @@ def encoder(path: str) -> Encoder:
     made = Encoder(path)
     release_memory()
     return made
+
+
+def forget_encoder() -> None:
+    """Drop the worker's encoder, in stages that follow the encoding."""
+    encoder.cache_clear()
+    release_memory()
