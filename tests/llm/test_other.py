@@ -1,4 +1,5 @@
 import itertools
+import textwrap
 import zlib
 
 import numpy as np
@@ -120,6 +121,48 @@ def test_licences(spark, odd, none):
     assert licences.scan(odd).count() == odd.count() and licences.scan(none).count() == 0
 
 
+GPL = """{0} This program is free software{1} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{2} either version {3} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED."""
+
+
+def wrapped(text, mark="", gap="\n", width=72):
+    return gap.join("\n".join(mark + line for line in textwrap.wrap(p, width)) + "\n" for p in text.split("\n\n"))
+
+
+def test_licences_of_wrapped_texts(spark):
+    texts = {
+        "GPL-2.0-or-later": GPL.format("", ";", ";", 2), "GPL-3.0-or-later": GPL.format("", ":", ",", 3), "MIT": MIT, "BSD-3-Clause": BSD,
+    }
+    rows = [(f"{name} {k}", name, make(t)) for name, t in texts.items() for k, make in enumerate([str, wrapped, lambda t: wrapped(t, " * ", " *\n"), lambda t: wrapped(t, "# ", "#\n", 60), lambda t: wrapped(t).replace("\n", "\r\n")])]
+    mixed = {
+        "MIT,GPL-3.0": "A title\nReleased under the MIT License\nmore words without an end\nThis work is licensed under the GNU General Public License,\nversion 3.",
+        "Apache-2.0": "# Copyright 2020 The Authors\n# SPDX-License-Identifier: Apache-2.0\nimport os\n",
+        "CC-BY": "Available under Creative Commons Attribution\n4.0 International.",
+    }
+    rows += [(name, name, t) for name, t in mixed.items()]
+    docs = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id string, text string")
+    assert {r.doc_id: r.licences for r in licences.scan(docs).collect()} == {k: name for k, name, _ in rows}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     assert compare(spark, connection("/root/testdata/sf0.001"), queries.QUERIES[name], queries.ORACLE_SQL[name], "/root/testdata/sf0.001") == ""

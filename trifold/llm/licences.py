@@ -1,9 +1,14 @@
 """Operator 10: licence scans by sentence rules.
 
-A text is cut into sentences at line ends and after full stops and semicolons.
+A text is cut into sentences at lines without a letter or digit, after full
+stops and semicolons (but for `; either version`), and after the colons of `free software:` and `following
+conditions:`. Wrapped lines are joined, but a line that is a statement of its own
+(a copyright notice, an SPDX tag, `Licensed under the MIT License`) is a sentence,
+and a line that begins as a licence sentence does begins one.
 Sentences that hold a licensing word are normalised (lower case, comment marks
 and punctuation to single spaces) and mapped to the identifier of the first
-sentence pattern that matches the whole of them. The identifiers, in order, form
+sentence pattern that matches the whole of them; where none does, those of its
+lines that match a pattern count in its place. The identifiers, in order, form
 a sequence; ordered licence rules are matched against it one after the other, and
 a rule that matches takes its identifiers out of the sequence, so that no
 sentence counts for two licences.
@@ -21,8 +26,8 @@ from pyspark.sql import functions as F
 
 from trifold.llm.common import let
 
-#: Words without which a sentence isn't examined.
-HINT = r"(?i)\b(?:licen[cs]|copyright|warrant|permission|redistribut|spdx|as is\b|liable|liabilit|public domain|rights reserved|cc by|cc-by|cc0|copyleft)|\(c\) "
+#: Words without which a sentence isn't examined. Each sentence that a pattern matches has one (for `c ...`, only as `(c)`).
+HINT = r"(?i)(?<![A-Za-z0-9])(?:licen[cs]|copyright|warrant|permission|redistribut|spdx|as[^A-Za-z0-9]+is\b|liable|liabilit|public[^A-Za-z0-9]+domain|rights[^A-Za-z0-9]+reserved|free[^A-Za-z0-9]+software|creative[^A-Za-z0-9]+commons|cc[^A-Za-z0-9]+by|cc0|copyleft)|\(c\)(?:\s|[0-9])"
 
 #: Sentence identifiers and the normalised sentences that they stand for (patterns for the whole sentence).
 SENTENCES = [
@@ -73,6 +78,14 @@ SENTENCES = [
     ("copyright", r"(copyright( c)?|c) .*"),
 ]
 
+#: Normalised lines that are sentences of their own, wherever they stand, and those with which a sentence begins.
+NOTICE = r"(?:copyright(?: c)?|c)(?! (?:notices?|holders?|owners?|licen[cs]\w*|laws?|statements?|and|or|in|of|is|shall)\b) .*"
+OWN = "|".join([NOTICE, *[f"(?:{p})" for name, p in SENTENCES if name == "spdxOther" or not (p.endswith(".*") or name == "gplFree")]])
+BEGINS = r"(?:permission is hereby granted|permission to use copy modify|redistribution and use in source|redistributions (?:of source|in binary)|neither the names? of|the software is provided as is|this software is provided by|this (?:program|software|file) is free|this program is distributed in|unless required by applicable law|see the license for the specific|this source code form is subject|this is free and unencumbered)\b.*"
+#: A licence's version on the next line, lines without a letter or digit, and other ends of sentences.
+VERSION = r"(?i)(licen[cs]e,?)[ \t\r]*\n[^A-Za-z0-9\n]*(v(?:ersion)?\b|v?[23]\b)"
+ENDS = r"\n[^\p{L}\p{N}\n]*+\n|(?<=[.;])\s(?![^A-Za-z0-9]*+(?i:either[^A-Za-z0-9]+version))|(?i)(?<=free software:|following conditions:|are met:)\s"
+
 #: Licences in the order in which their rules are tried, with the sentence identifiers in order.
 RULES = [
     ("MIT", ["mitPerm", "mitNotice", "asIsSoftware", "mitLiable"]),
@@ -126,6 +139,25 @@ def sentence_id(sentence: Column) -> Column:
     return found
 
 
+def sentences_of(text: Column) -> Column:
+    """The sentences of a text, wrapped lines still apart."""
+
+    def marked(line: Column) -> Column:
+        own = lambda n: F.when(n.rlike(f"^(?:{OWN})$"), F.concat(F.lit("\n"), line, F.lit("\n"))).when(n.rlike(f"^{BEGINS}$"), F.concat(F.lit("\n"), line)).otherwise(line)
+        return F.when(line.rlike(HINT), let(normalised(line), own)).otherwise(line)
+
+    lines = F.split(F.regexp_replace(text, VERSION, "$1 $2"), "\n")
+    return F.split(F.array_join(F.transform(lines, marked), "\n"), ENDS)
+
+
+def ids_of(sentence: Column) -> Column:
+    """The identifier of a sentence; where it has several lines and no pattern, those of its lines."""
+    of = lambda x: let(normalised(x), sentence_id)
+    lines = lambda: F.filter(F.transform(F.filter(F.split(sentence, "\n"), lambda x: x.rlike(HINT)), of), lambda i: ~i.isin("unknown", "copyright"))
+    either = lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unknown")))
+    return let(of(sentence), lambda i: F.when((i != "unknown") | ~sentence.contains("\n"), F.array(i)).otherwise(let(lines(), either)))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_sentences, n_unknown, sentence_ids, licences, n_unmatched.
 
@@ -133,8 +165,8 @@ def scan(docs: DataFrame) -> DataFrame:
     n_unmatched counts known sentences that no rule took.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = F.filter(F.split(text, r"\n|(?<=[.;])\s"), lambda s: s.rlike(HINT))
-    sentences = F.when(text.rlike(HINT), F.transform(cut, lambda s: let(normalised(s), sentence_id))).otherwise(F.array().cast("array<string>"))
+    cut = F.filter(sentences_of(text), lambda s: s.rlike(HINT))
+    sentences = F.when(text.rlike(HINT), F.flatten(F.transform(cut, ids_of))).otherwise(F.array().cast("array<string>"))
     held = docs.select("doc_id", sentences.alias("ids"))
 
     # each identifier has a space of its own on either side, so that one taken out leaves its neighbours whole
