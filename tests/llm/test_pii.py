@@ -102,6 +102,16 @@ def test_terms_that_occur_with_an_entity_only(spark):
     assert all(clean[k].text == t for k, t, _ in rows if k < 900)
 
 
+def test_terms_in_documents_without_the_entity(spark):
+    rows = [(i, f"Filler sentence number with words {chr(97 + i % 20) * 4} {chr(97 + i // 20) * 4}. Other things here.") for i in range(200)]
+    rows += [(900, "Write to Zephyrine now at zq@mail.com please."), (901, "Ask Zephyrine about zq@mail.com today."), (902, "Nobody but zephyrine was there."), (903, "Zephyrines came.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.detect(docs, alpha=0.8).collect()}
+    assert found[902] == "term:11:20" and found[900] == "term:9:18,email:26:37" and all(found[k] == "" for k, _ in rows if k not in (900, 901, 902))
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs, alpha=0.8).collect()}
+    assert clean[902] == "Nobody but [TERM] was there." and clean[901] == "Ask [TERM] about [EMAIL] today." and clean[903] == "Zephyrines came."
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert pii.detect(docs).count() == 0 and pii.sanitised(docs).columns == docs.columns and pii.sanitised(docs).count() == 0

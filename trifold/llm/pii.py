@@ -11,9 +11,9 @@ distinct sentences of the corpus,
 
 and t discloses e if PMI >= alpha * IC, where n(t, e) is at least `support`
 distinct sentences (one sentence alone, or copies of it, say nothing about a
-relation). Such terms are protected in every document that has the entity: all
-their occurrences become spans of kind ``term``. In the sanitised text a term
-that occurs with its entity only is removed, others become ``[TERM]``; base
+relation). Such terms are protected in every document, whether it has the entity
+or not: all their occurrences become spans of kind ``term``. In the sanitised text
+a term that occurs with its entity only is removed, others become ``[TERM]``; base
 spans become ``[EMAIL]``, ``[IP]``, ``[CARD]`` and ``[PHONE]``.
 
 Counts cover all documents. Only candidate terms (those with enough support) are
@@ -119,17 +119,21 @@ def terms_of(sentence: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(plain), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
 
 
-def found_base(docs: DataFrame) -> DataFrame:
-    """doc_id, the spans of each kind, base (all in order), and the text where there are any. Stored."""
+def based_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, the count of each kind, and base (all spans in order)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     spans = docs.select("doc_id", text.alias("text")).select("doc_id", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
-    based = spans.select("doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.array_sort(F.concat(*KINDS)).alias("base"))
-    return cut(based.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "base-spans")
+    return spans.select("doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.array_sort(F.concat(*KINDS)).alias("base"))
+
+
+def found_base(docs: DataFrame) -> DataFrame:
+    """The texts that have spans. Stored."""
+    return cut(based_rows(docs).filter(F.size("base") > 0).select("text"), "base-spans")
 
 
 def disclosing_terms(docs: DataFrame, based: DataFrame, alpha: float = 0.95, support: int = 2) -> DataFrame:
     """entity, term, ratio (PMI / IC) and alone (the term occurs with this entity only), for terms at or above alpha."""
-    held = based.filter(F.size("base") > 0).select(F.explode(F.split("text", SENTENCE)).alias("sentence"))
+    held = based.select(F.explode(F.split("text", SENTENCE)).alias("sentence"))
     held = held.select("sentence", F.explode_outer(entities(F.col("sentence"))).alias("entity")).filter("entity is not null").distinct()
     of_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     together = held.select("entity", F.explode_outer(terms_of(F.col("sentence"))).alias("term")).filter("term is not null")
@@ -147,19 +151,19 @@ def disclosing_terms(docs: DataFrame, based: DataFrame, alpha: float = 0.95, sup
     return rated.select("entity", "term", ratio.alias("ratio"), (F.col("n_t") <= F.col("n_te")).alias("alone")).filter(F.col("ratio") >= alpha)
 
 
-def document_terms(docs: DataFrame, based: DataFrame, **options) -> DataFrame:
-    """doc_id with terms (to generalise) and alone (to remove), for documents that have an entity which a term discloses."""
-    found = disclosing_terms(docs, based, **options)
-    held = based.filter(F.size("base") > 0).select("doc_id", F.explode_outer(entities(F.col("text"))).alias("entity"))
-    each = held.join(found, "entity").groupBy("doc_id").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("alone"), F.col("term"))).alias("alone"))
-    return cut(each, "document-terms")
+def document_terms(docs: DataFrame, **options) -> DataFrame:
+    """doc_id with terms (to generalise) and alone (to remove), for documents that have a term which discloses any entity."""
+    found = disclosing_terms(docs, found_base(docs), **options).groupBy("term").agg(F.max("alone").alias("alone"))
+    found = cut(found, "disclosing-terms")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
+    each = words.join(maybe_broadcast(found, found.count()), "term").groupBy("doc_id")
+    return cut(each.agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("alone"), F.col("term"))).alias("alone")), "document-terms")
 
 
 def detect(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    based = found_base(docs)
-    terms = document_terms(docs, based, **options)
-    with_terms = based.join(terms.withColumnRenamed("doc_id", "__of"), F.col("doc_id") == F.col("__of"), "left")
+    terms = document_terms(docs, **options)
+    with_terms = based_rows(docs).join(terms.withColumnRenamed("doc_id", "__of"), F.col("doc_id") == F.col("__of"), "left")
     found = located(F.col("text"), LETTERS, len(KINDS), "term", lambda m: F.array_contains("terms", F.lower(m)))
     clear = F.filter(found, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     every = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", clear)))
@@ -187,8 +191,7 @@ def tagging(kind: str):
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
     """docs with its columns, personal data and disclosing terms replaced in text; n_chars follows where it is a column."""
-    based = found_base(docs)
-    terms = document_terms(docs, based, **options)
+    terms = document_terms(docs, **options)
     of, generalised, removed = fresh(docs, "__of", "__terms", "__alone")
     joined_terms = docs.join(terms.select(F.col("doc_id").alias(of), F.col("terms").alias(generalised), F.col("alone").alias(removed)), docs["doc_id"] == F.col(of), "left")
     text = F.col("text")
