@@ -1,5 +1,6 @@
 """Line merges, parsers and whole-file merges: properties and small cases."""
 
+import random
 import shutil
 import subprocess
 
@@ -124,3 +125,21 @@ def test_marker_titles():
 def test_equal_ranges_both_stay():
     e = extract_entities("int f(int a) {\n}\n", "a.c")
     assert len(outermost(e + e)) == 2
+
+
+def test_far_path_is_near_path():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(1, 60))] for _ in range(2))
+        assert merge3.far_path(a, b) == merge3.near_path(a, b, 200)
+    a, b = ([str(rng.randrange(40)) for _ in range(700)] for _ in range(2))
+    assert merge3.far_path(a, b) == merge3.near_path(a, b, 2000)
+
+
+def test_long_texts_keep_their_hunks():
+    base = [f"line {i}\n" for i in range(12_000)]
+    ours = [f"ours {i}\n" if i % 5 == 0 else x for i, x in enumerate(base)]
+    theirs = [f"theirs {i}\n" if i % 7 == 3 and i % 5 == 2 else x for i, x in enumerate(base)]
+    want = [o if o != x else t for x, o, t in zip(base, ours, theirs, strict=True)]
+    found = merge3.merge("".join(base), "".join(ours), "".join(theirs))
+    assert found.conflicts == 0 and found.text == "".join(want)
