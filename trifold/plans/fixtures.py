@@ -119,7 +119,7 @@ edges AS (
 def name_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """base, ours, theirs entities (entity_id, ord, content, body_hash, structural_hash) from part, with renames by key."""
     k = F.col("p_partkey")
-    part = table(spark, sf_dir, "part").filter("p_partkey <= 20000")
+    part = table(spark, sf_dir, "part")
 
     def entities(name) -> DataFrame:
         content = F.concat(F.lit("def "), name, F.lit("(x): return x * "), (k % 1009).cast("string"), F.lit(" # "), F.col("p_type"))
