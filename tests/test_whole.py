@@ -1,5 +1,8 @@
 """Queries over tables on which a bound or filter would lose rows."""
 
+from pyspark.sql import functions as F
+
+from trifold.operators import graph
 from trifold.plans import queries as core
 
 
@@ -12,3 +15,9 @@ def test_renames_of_parts_with_large_keys(spark, tmp_path):
     both = {(f"f{k}", f"g{k}", f"h{k}") for k in keys if k % 35 == 0}
     assert {(r.base_id, r.ours_id, r.theirs_id) for r in core.rename_rename(spark, str(tmp_path)).collect()} == both
     assert core.word_boundary_normalize(spark, str(tmp_path)).count() == len(keys)
+
+
+def test_impact_of_a_long_chain(spark):
+    edges = spark.range(70).select(F.concat(F.lit("n"), F.col("id") + 1).alias("src"), F.concat(F.lit("n"), F.col("id")).alias("dst"))
+    found = graph.impact(edges.coalesce(1), spark.createDataFrame([("n0",)], "id string"))
+    assert {r.id: r.depth for r in found.collect()} == {f"n{k}": k for k in range(1, 71)}

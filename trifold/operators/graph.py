@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ def resolve_name(entities: DataFrame, name: str, file_path: str | None = None) -
     return exact if not exact.isEmpty() else named
 
 
-def impact(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
+def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(id, depth): entities that depend on the starts, directly or not, with the fewest steps.
 
     A frontier moves one step a round and only over entities not yet seen, so
@@ -35,7 +36,7 @@ def impact(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="trifold-"))
     seen = frontier = starts.select("id", F.lit(0).alias("depth")).distinct().checkpoint()
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1):
         step = edges.join(frontier.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
         frontier = step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if frontier.isEmpty():
