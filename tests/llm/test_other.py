@@ -163,6 +163,16 @@ def test_licences_of_wrapped_texts(spark):
     assert {r.doc_id: r.licences for r in licences.scan(docs).collect()} == {k: name for k, name, _ in rows}
 
 
+def test_strings_with_a_common_prefix_get_levels_of_their_own(spark):
+    rows = [(i, f"https://example.org/{i % 20:02}" if i % 21 else None) for i in range(420)]
+    splits = hilbert.string_splits(spark.createDataFrame(rows, "doc_id long, source string"), "source", 16)
+    names = ["", *[f"https://example.org/{k:02}" for k in range(20)]]
+    assert splits == [names[i * 21 // 16] for i in range(1, 16)]
+    docs = spark.createDataFrame([(i, f"https://example.org/{i % 8}", "t") for i in range(400)], "doc_id long, source string, tie string")
+    placed = hilbert.hilbert_shards(docs, ["source"], ["doc_id", "tie"], 8).select("shard", "source").distinct().collect()
+    assert len(placed) == 8 and len({r.shard for r in placed}) == 8
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     assert compare(spark, connection("/root/testdata/sf0.001"), queries.QUERIES[name], queries.ORACLE_SQL[name], "/root/testdata/sf0.001") == ""

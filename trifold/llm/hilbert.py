@@ -1,7 +1,7 @@
 """Operator 2: shards as runs of a Hilbert curve over quantised metadata.
 
 Each metadata dimension becomes a small integer: numbers by quantile, strings by
-the quantile of their first six bytes read as a number, which keeps their order.
+the rank of the whole string among the distinct ones, which keeps their order.
 The Hilbert index of that cell orders the rows, and equal runs of the order are
 the shards, so each shard covers a compact box of every dimension and minimum
 and maximum statistics of its file prune well on any of them.
@@ -20,13 +20,15 @@ no row; further columns are not read.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trifold.llm.common import quantile_splits, range_bucket
+from trifold.llm.common import cut, quantile_splits, range_bucket
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -58,12 +60,24 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def order_code(column: Column, kind: T.DataType) -> Column:
-    """A number that orders as the column does: strings by their first six bytes."""
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(F.coalesce(column, F.lit("")), "utf-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("long")
-    return column.cast("double")
+def string_splits(rows: DataFrame, name: str, buckets: int) -> list[str]:
+    """At most buckets - 1 increasing strings that cut the distinct values into runs of equal counts."""
+    ordered = rows.select(F.coalesce(F.col(name), F.lit("")).alias("value")).distinct().orderBy("value")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    held = cut(ordered.select("value", F.spark_partition_id().alias("part"), place.alias("place")), "distinct-values")
+    begins, n = {}, 0
+    for part, count in sorted(held.groupBy("part").count().collect()):
+        begins[part], n = n, n + count
+    wanted = sorted({i * n // buckets for i in range(1, buckets)} - {0})
+    part_of = lambda rank: max((b, p) for p, b in begins.items() if b <= rank)
+    keys = [(p, rank - b) for rank in wanted for b, p in [part_of(rank)]]
+    found = [(F.col("part") == p) & (F.col("place") == at) for p, at in keys]
+    return sorted((r.value for r in held.filter(functools.reduce(Column.__or__, found)).collect()), key=str.encode) if found else []
+
+
+def string_level(column: Column, splits: list[str]) -> Column:
+    """Number of splits that are <= column; null counts as the empty string."""
+    return functools.reduce(Column.__add__, [(F.coalesce(column, F.lit("")) >= s).cast("int") for s in splits], F.lit(0))
 
 
 def hilbert_shards(rows: DataFrame, dimensions: list[str], tie: list[str], shards: int, bits: int = 4, salts: int = 64) -> DataFrame:
@@ -72,9 +86,11 @@ def hilbert_shards(rows: DataFrame, dimensions: list[str], tie: list[str], shard
         raise ValueError("at most 20 bits of cells, so that their counts stay few")
     levels = []
     for name in dimensions:
-        code = order_code(F.col(name), rows.schema[name].dataType)
-        splits = quantile_splits(rows.select(code.alias("code")).distinct() if isinstance(rows.schema[name].dataType, T.StringType) else rows.select(code.alias("code")), "code", 1 << bits)
-        levels.append(range_bucket(code, splits))
+        if isinstance(rows.schema[name].dataType, T.StringType):
+            levels.append(string_level(F.col(name), string_splits(rows, name, 1 << bits)))
+        else:
+            code = F.col(name).cast("double")
+            levels.append(range_bucket(code, quantile_splits(rows.select(code.alias("code")), "code", 1 << bits)))
 
     @F.pandas_udf("long")
     def curve(cell: pd.DataFrame) -> pd.Series:
