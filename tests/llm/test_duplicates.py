@@ -4,6 +4,7 @@ import random
 import pytest
 
 from trifold.llm import decontam, neardup, sketch
+from trifold.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,6 +64,35 @@ def test_chains_and_large_groups(spark, seed, monkeypatch):
     check(spark.createDataFrame(list(enumerate(chains(seed))), "doc_id long, text string"), 4)
 
 
+@pytest.mark.parametrize("star", [1, 2000])
+def test_links_of_one_id_with_two_texts(spark, star, monkeypatch):
+    monkeypatch.setattr(neardup, "STAR", star)  # every member in a run of its own
+    first, second = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, first), (1, second), (2, first + " x"), (3, second + " y"), (4, "something else"), (1, first)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_one_id_for_all_rows_and_null_ids(spark):
+    rows = [(None if i % 3 == 0 else 7, f"{'one text of more than five words' if i % 2 else 'and another text that many share too'}") for i in range(40)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 40 and {r.component_id for r in got} == {7}
+
+
+def test_a_bucket_below_the_threshold(spark, monkeypatch):
+    """Many texts at a similarity just below 0.8, and some pairs above it that no star has."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        own = [f"{w}_{i}" if rng.random() < 0.028 else w for w in words]
+        rows.append(" ".join(own))
+        if i % 6 == 0:
+            rows.append(" ".join([*own[:-1], "end"]))
+    check(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 4)
+
+
 def test_odd(odd, none):
     got = {r.doc_id: r for r in neardup.near_duplicates(odd).collect()}
     assert all(got[i].n_shingles == 0 and got[i].kept for i in (0, 1, 2))
@@ -79,7 +109,8 @@ def test_bounds():
 
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (101, 102)], "a long, b long")
-    got = {r.node: r.label for r in neardup.components(edges).collect()}
+    with Scratch(spark) as hold:
+        got = {r.node: r.label for r in neardup.components(edges, hold).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows a side may have to be broadcast; with rows of a few numbers this is some 10 MB.
 BROADCAST_ROWS = 200_000
+#: Bytes that the strings of such a side may have.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (single-machine tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one, on one machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trifold-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -48,11 +53,41 @@ def drop_shared(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """The intermediate tables of one run: written by cut, deleted when the run is over.
+
+    What the run returns must not read them: `result` writes it as a table that stays.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(write_shared(df, name))
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return cut(df, name)
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            drop_shared(self.spark, path)
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast df if its counted rows are within BROADCAST_ROWS; else the planner shuffles it."""
+    """Broadcast df, whose rows are a few numbers, if its counted rows are within BROADCAST_ROWS; else the planner shuffles it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def broadcast_strings(df: DataFrame, column: str) -> DataFrame:
+    """Broadcast df, which has one column of strings, if its counted rows and bytes are within bounds."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(column))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+
+
 def quantile_splits(df: DataFrame, column: str, buckets: int) -> list[float]:
     """At most buckets - 1 increasing split points that cut the column into runs of about equal counts."""
     if buckets <= 1:
