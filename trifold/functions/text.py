@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,13 +33,19 @@ COMPLEXITY = [
     ("?", "unknown", "Could not classify. Compare both versions manually."),
 ]
 _SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_INK = f"[^{_SPACE[1:-2]}]"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once: a lambda variable holds it, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def lines(text: Column) -> Column:
     """Lines without their ends: no element after a final newline, none for an empty text, a final CR removed."""
-    each = F.split(text, "\n", -1)
-    whole = F.when(F.element_at(each, -1) == "", F.slice(each, 1, F.size(each) - 1)).otherwise(each)
-    return F.transform(whole, lambda x: F.when(F.endswith(x, F.lit("\r")), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+    ended = lambda x: F.when(F.endswith(x, F.lit("\r")), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x)
+    whole = lambda each: F.filter(each, lambda x, i: (x != "") | (i < F.size(each) - 1))
+    return F.transform(let(F.split(text, "\n", -1), whole), ended)
 
 
 def trimmed(text: Column) -> Column:
@@ -44,36 +53,40 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_SPACE}|{_SPACE}$", "")
 
 
-def _begins(text: Column, prefixes: list[str]) -> Column:
-    found = F.lit(False)
-    for p in prefixes:
-        found = found | F.startswith(text, F.lit(p))
-    return found
+def is_blank(line: Column) -> Column:
+    return ~F.rlike(line, F.lit(_INK))
+
+
+def _any(words: list[str]) -> str:
+    return "|".join(re.escape(x) for x in words)
+
+
+#: One anchored search tells what a line begins with once it is trimmed; after a word that ends in a space, something must follow.
+_COMMENT = f"^(?:{_SPACE})?(?:{_any(COMMENT_PREFIXES)})"
+_DECORATOR = f"^(?:{_SPACE})?(?!{_any(NOT_DECORATORS)})@"
+_IMPORT = f"^(?![ \t])(?:{_SPACE})?(?:(?:{_any([p for p in IMPORT_PREFIXES if p[-1] == ' '])})(?=[\\s\\S]*{_INK})|{_any([p for p in IMPORT_PREFIXES if p[-1] != ' '])}|const (?=[\\s\\S]*require\\())"
 
 
 def is_comment_line(line: Column) -> Column:
-    return _begins(trimmed(line), COMMENT_PREFIXES)
+    return F.rlike(line, F.lit(_COMMENT))
 
 
 def is_decorator_line(line: Column) -> Column:
-    bare = trimmed(line)
-    return F.startswith(bare, F.lit("@")) & ~_begins(bare, NOT_DECORATORS)
+    return F.rlike(line, F.lit(_DECORATOR))
 
 
 def is_import_line(line: Column) -> Column:
-    bare = trimmed(line)
-    required = F.startswith(bare, F.lit("const ")) & F.contains(bare, F.lit("require("))
-    return ~_begins(line, [" ", "\t"]) & (_begins(bare, IMPORT_PREFIXES) | required)
+    return F.rlike(line, F.lit(_IMPORT))
 
 
 def is_import_region(text: Column) -> Column:
     """More than half of the non-blank lines are imports."""
-    held = F.filter(lines(text), lambda x: trimmed(x) != "")
-    return F.size(F.filter(held, is_import_line)) * 2 > F.size(held)
+    held = F.filter(lines(text), lambda x: ~is_blank(x))
+    return let(held, lambda each: F.size(F.filter(each, is_import_line)) * 2 > F.size(each))
 
 
 def is_whitespace_only_diff(a: Column, b: Column) -> Column:
-    bare = lambda x: F.filter(F.transform(lines(x), trimmed), lambda y: y != "")
+    bare = lambda x: F.transform(F.filter(lines(x), lambda y: ~is_blank(y)), trimmed)
     return (a == b) | (bare(a) == bare(b))
 
 
@@ -111,23 +124,41 @@ def marker_count(text: Column) -> Column:
 
 def merge_imports(base: Column, ours: Column, theirs: Column) -> Column:
     """Import lines as sets on the skeleton of ours: what theirs deleted goes, what theirs added follows the last import."""
-    b, o, t = (F.filter(lines(x), is_import_line) for x in (base, ours, theirs))
-    deleted = F.array_except(b, t)
-    added = F.filter(t, lambda x: ~F.array_contains(b, x) & ~F.array_contains(o, x))
-    kept = F.filter(lines(ours), lambda x: ~(is_import_line(x) & F.array_contains(deleted, x)))
-    last = F.coalesce(F.array_max(F.filter(F.transform(kept, lambda x, i: F.when(is_import_line(x), i + 1)), lambda i: i.isNotNull())), F.lit(0))
-    merged = F.concat(F.slice(kept, F.lit(1), last), added, F.slice(kept, last + 1, F.greatest(F.size(kept) - last, F.lit(0))))
-    text = F.array_join(merged, "\n")
-    ends = lambda x: F.length(x) - F.length(F.regexp_replace(x, "\n+$", ""))
-    return F.concat(text, F.repeat(F.lit("\n"), F.greatest(ends(ours) - ends(text), F.lit(0))))
+    imports = lambda x: F.filter(lines(x), is_import_line)
+    sides = F.struct(imports(base).alias("b"), lines(ours).alias("o"), imports(theirs).alias("t"))
+    text = let(let(sides, _kept_and_added), _joined_imports)
+    return let(text, lambda x: F.concat(x, F.repeat(F.lit("\n"), F.greatest(_final_newlines(ours) - _final_newlines(x), F.lit(0)))))
+
+
+def _kept_and_added(s: Column) -> Column:
+    """struct(kept, flags, added): lines of ours that stay, whether each is an import, and imports that only theirs has."""
+    marked = F.transform(s["o"], lambda x: F.struct(x.alias("line"), is_import_line(x).alias("is_import")))
+    kept = lambda m: F.filter(m, lambda x: ~(x["is_import"] & F.array_contains(s["b"], x["line"]) & ~F.array_contains(s["t"], x["line"])))
+    added = F.filter(s["t"], lambda x: ~F.array_contains(s["b"], x) & ~F.array_contains(s["o"], x))
+    return F.struct(let(marked, kept).alias("kept"), added.alias("added"))
+
+
+def _joined_imports(s: Column) -> Column:
+    kept = s["kept"]
+    last = F.coalesce(F.array_max(F.transform(kept, lambda x, i: F.when(x["is_import"], i + 1))), F.lit(0))
+    line = lambda x: x["line"]
+    put = lambda n: F.concat(F.transform(F.slice(kept, F.lit(1), n), line), s["added"], F.transform(F.slice(kept, n + 1, F.greatest(F.size(kept) - n, F.lit(0))), line))
+    return F.array_join(let(last, put), "\n")
+
+
+def _final_newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.rtrim(text, F.lit("\n")))
 
 
 def split_decorators(content: Column) -> Column:
     """struct(decorators, body): the leading decorator lines and the rest."""
-    each = lines(content)
-    plain = F.filter(F.transform(each, lambda x, i: F.when(~is_decorator_line(x), i)), lambda i: i.isNotNull())
-    n = F.coalesce(F.array_min(plain), F.size(each))
-    return F.struct(F.slice(each, F.lit(1), n).alias("decorators"), F.array_join(F.slice(each, n + 1, F.greatest(F.size(each) - n, F.lit(0))), "\n").alias("body"))
+
+    def parts(each: Column) -> Column:
+        n = F.coalesce(F.array_min(F.transform(each, lambda x, i: F.when(~is_decorator_line(x), i))), F.size(each))
+        body = lambda k: F.array_join(F.slice(each, k + 1, F.greatest(F.size(each) - k, F.lit(0))), "\n")
+        return let(n, lambda k: F.struct(F.slice(each, F.lit(1), k).alias("decorators"), body(k).alias("body")))
+
+    return let(lines(content), parts)
 
 
 def merge_decorators(base: Column, ours: Column, theirs: Column) -> Column:
@@ -138,17 +169,14 @@ def merge_decorators(base: Column, ours: Column, theirs: Column) -> Column:
 
 def cleanup(text: Column) -> Column:
     """Consecutive equal non-blank lines become one, blank runs are cut to two; the final newline stays."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("blank"))
 
-    def step(state: Column, line: Column) -> Column:
-        blank = trimmed(line) == ""
-        repeated = ~blank & (F.size(state["out"]) > 0) & (F.element_at(F.concat(F.array(F.lit("")), state["out"]), -1) == line)
-        run = F.when(blank, state["blank"] + 1).otherwise(F.lit(0))
-        keep = F.when(blank, run <= 2).otherwise(~repeated)
-        return F.struct(F.when(keep, F.concat(state["out"], F.array(line))).otherwise(state["out"]).alias("out"), run.alias("blank"))
+    def keep(each: Column) -> Column:
+        before = lambda i, k: F.get(each, i - k)
+        third = lambda i: (i > 1) & is_blank(before(i, 1)) & is_blank(before(i, 2))
+        return F.filter(each, lambda x, i: F.when(is_blank(x), ~third(i)).otherwise((i == 0) | (x != before(i, 1))))
 
-    joined = F.array_join(F.aggregate(lines(text), start, step, lambda s: s["out"]), "\n")
-    return F.when(F.endswith(text, F.lit("\n")) & ~F.endswith(joined, F.lit("\n")), F.concat(joined, F.lit("\n"))).otherwise(joined)
+    joined = F.array_join(let(lines(text), keep), "\n")
+    return let(joined, lambda x: F.when(F.endswith(text, F.lit("\n")) & ~F.endswith(x, F.lit("\n")), F.concat(x, F.lit("\n"))).otherwise(x))
 
 
 def cap_blank_runs(text: Column) -> Column:
@@ -158,29 +186,29 @@ def cap_blank_runs(text: Column) -> Column:
 
 def change_dimensions(base: Column, other: Column) -> Column:
     """struct(text, syntax, functional): what kind of change leads from base to other."""
-    b, o = lines(base), lines(other)
-    first_b, first_o = F.coalesce(F.get(b, 0), F.lit("")), F.coalesce(F.get(o, 0), F.lit(""))
-    rest = lambda x: F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))
-    code = lambda x: F.filter(rest(x), lambda y: ~is_comment_line(y))
-    head = first_b != first_o
-    comment = is_comment_line(first_b) | is_comment_line(first_o)
-    body = rest(b) != rest(o)
-    same_code = code(b) == code(o)
-    differs = base != other
-    return F.struct(
-        (differs & ((head & comment) | (body & same_code))).alias("text"),
-        (differs & head & ~comment).alias("syntax"),
-        (differs & body & ~same_code).alias("functional"),
-    )
+    code = lambda x: F.filter(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), lambda y: ~is_comment_line(y))
+    parts = lambda x: F.struct(F.coalesce(F.get(x, 0), F.lit("")).alias("first"), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))).alias("rest"), code(x).alias("code"))
+
+    def compare(s: Column) -> Column:
+        b, o = s["b"], s["o"]
+        head, body, same_code = b["first"] != o["first"], b["rest"] != o["rest"], b["code"] == o["code"]
+        comment = is_comment_line(b["first"]) | is_comment_line(o["first"])
+        differs = base != other
+        text = differs & ((head & comment) | (body & same_code))
+        return F.struct(text.alias("text"), (differs & head & ~comment).alias("syntax"), (differs & body & ~same_code).alias("functional"))
+
+    return let(F.struct(let(lines(base), parts).alias("b"), let(lines(other), parts).alias("o")), compare)
 
 
 def classify_conflict(base: Column, ours: Column, theirs: Column) -> Column:
     """The complexity label of a conflict; an absent version is the empty text."""
     b, o, t = (F.coalesce(x, F.lit("")) for x in (base, ours, theirs))
-    a, c = change_dimensions(b, o), change_dimensions(b, t)
-    parts = [F.when(a[k] | c[k], F.lit(v)) for k, v in (("text", "T"), ("syntax", "S"), ("functional", "F"))]
-    label = F.concat_ws("+", *parts)
-    return F.when(label == "", F.lit("?")).otherwise(label)
+
+    def label(s: Column) -> Column:
+        parts = [F.when(s["a"][k] | s["c"][k], F.lit(v)) for k, v in (("text", "T"), ("syntax", "S"), ("functional", "F"))]
+        return F.coalesce(F.nullif(F.concat_ws("+", *parts), F.lit("")), F.lit("?"))
+
+    return let(F.struct(change_dimensions(b, o).alias("a"), change_dimensions(b, t).alias("c")), label)
 
 
 def _looked_up(label: Column, at: int) -> Column:
