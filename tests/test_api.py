@@ -32,7 +32,7 @@ def test_claims(w):
     assert near.warnings == ["dependency a.py::function::low a1"]
     assert [r.agent_id for r in api.who_is_editing(w, "a.py", "low").collect()] == ["a1"]
     api.agent_register(w, "a3", 5)
-    api.agent_heartbeat(w, "a3", "a.py::function::low", 6)
+    api.agent_heartbeat(w, "a3", ["a.py::function::low"], 6)
     assert [r.agents for r in api.potential_conflicts(w, "a3").collect()] == [["a1", "a3"]]
     assert api.release_entity(w, "a1", "a.py", "low", 7).first().outcome == "released"
     assert {r.name: r.claimed_by for r in api.status(w, "a.py").collect()} == {"low": None, "mid": "a2", "top": None}

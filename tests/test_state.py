@@ -41,8 +41,27 @@ def test_stale_and_conflicts(spark):
     assert [r.agent_id for r in stale.collect()] == ["a"]
     claims = spark.createDataFrame([("e1", "a"), ("e2", "b")], "entity_id string, claimed_by string")
     assert [r.entity_id for r in state.release_stale(claims, stale).collect()] == ["e2"]
-    working = spark.createDataFrame([("e2", "b"), ("e2", "b"), ("e2", "c")], "entity_id string, agent_id string")
-    assert [(r.entity_id, r.agents) for r in state.potential_conflicts(working, claims).collect()] == [("e2", ["b", "c"])]
+    working = spark.createDataFrame([("b", ["e2"], "active"), ("c", ["e1", "e2", "e9"], "active"), ("d", ["e2"], "stale"), ("f", ["e9"], "active")], "agent_id string, working_on array<string>, status string")
+    known = spark.createDataFrame([("e1",), ("e2",)], "entity_id string")
+    found = sorted((r.entity_id, r.agents) for r in state.potential_conflicts(working, claims, known).collect())
+    assert found == [("e1", ["a", "c"]), ("e2", ["b", "c"])]
+
+
+def test_time_goes_before_sequence(spark):
+    log = spark.createDataFrame([(10, 5, "a", "e", "claim"), (20, 1, "a", "e", "release"), (30, 2, "b", "e", "claim")], SCHEMA)
+    assert [(r.entity_id, r.claimed_by) for r in state.current_claims(log).collect()] == [("e", "b")]
+
+
+def test_cleanup_and_lists(spark):
+    rows = [
+        (1, 1, "a", None, "register"), (2, 2, "b", None, "register"), (3, 3, "a", "e1", "heartbeat"), (3, 3, "a", "e2", "heartbeat"), (4, 4, "x", "e1", "heartbeat"),
+        (5, 5, "a", "e1", "claim"), (900, 6, "b", "e2", "heartbeat"), (901, 7, "b", "e3", "claim"),
+    ]
+    log = spark.createDataFrame(rows, SCHEMA)
+    assert {(r.agent_id, tuple(r.working_on)) for r in state.agent_status(log).collect()} == {("a", ("e1", "e2")), ("b", ("e2",))}
+    agents, claims = state.cleaned_up(log, 1000, 500)
+    assert {(r.agent_id, r.status) for r in agents.collect()} == {("a", "stale"), ("b", "active")}
+    assert [(r.entity_id, r.claimed_by) for r in claims.collect()] == [("e3", "b")]
 
 
 def test_git_source(spark, tmp_path):

@@ -6,6 +6,7 @@ append rows to the log; everything else is a fold over it.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +38,14 @@ class Workspace:
                 return own
             raise
 
-    def append(self, ts: int, agent_id: str, entity_id: str | None, op: str, payload: str | None = None) -> None:
-        row = [(ts, ts, agent_id, entity_id, op, payload)]
+    def append(self, ts: int, agent_id: str, entity_ids: list[str | None], op: str, payload: str | None = None) -> None:
+        """One operation: a row for each entity, all with one seq, which grows with the real time."""
+        seq = time.time_ns()
+        rows = [(ts, seq, agent_id, entity, op, payload) for entity in entity_ids]
         if self.log_path is None:
-            self._rows = (self._rows or []) + [(ts, len(self._rows or []), *row[0][2:])]
+            self._rows = (self._rows or []) + rows
         else:
-            self.spark.createDataFrame(row, LOG).write.mode("append").parquet(self.log_path)
+            self.spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(self.log_path)
 
     def entities(self) -> DataFrame:
         return files.entity_table(self.files, "path", "content")
@@ -66,8 +69,8 @@ def claim_entity(w: Workspace, agent_id: str, path: str, name: str, ts: int) ->
     entity = resolve(w, path, name)
     if entity is None:
         return w.spark.createDataFrame([(None, "not_found", None, [])], "entity_id string, outcome string, claimed_by string, warnings array<string>")
-    w.append(ts, agent_id, entity, "claim")
-    last = state.fold_claims(w.log()).filter((F.col("entity_id") == entity) & (F.col("agent_id") == agent_id)).groupBy("entity_id").agg(F.max_by("outcome", "seq").alias("outcome"), F.max_by("claimed_by", "seq").alias("claimed_by"))
+    w.append(ts, agent_id, [entity], "claim")
+    last = state.fold_claims(w.log()).filter((F.col("entity_id") == entity) & (F.col("agent_id") == agent_id)).groupBy("entity_id").agg(F.max_by("outcome", F.struct("ts", "seq")).alias("outcome"), F.max_by("claimed_by", F.struct("ts", "seq")).alias("claimed_by"))
     near = state.claim_warnings(state.current_claims(w.log()), w.edges(), agent_id, entity).withColumn("warning", F.concat_ws(" ", "relation", "entity_id", "claimed_by"))
     warned = near.groupBy(F.lit(entity).alias("entity_id")).agg(F.array_sort(F.collect_set("warning")).alias("warnings"))
     return last.join(warned, "entity_id", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
@@ -76,8 +79,8 @@ def claim_entity(w: Workspace, agent_id: str, path: str, name: str, ts: int) ->
 def release_entity(w: Workspace, agent_id: str, path: str, name: str, ts: int) -> DataFrame:
     entity = resolve(w, path, name)
     if entity is not None:
-        w.append(ts, agent_id, entity, "release")
-    return state.fold_claims(w.log()).filter(F.col("entity_id") == entity).groupBy("entity_id").agg(F.max_by("outcome", "seq").alias("outcome"))
+        w.append(ts, agent_id, [entity], "release")
+    return state.fold_claims(w.log()).filter(F.col("entity_id") == entity).groupBy("entity_id").agg(F.max_by("outcome", F.struct("ts", "seq")).alias("outcome"))
 
 
 def status(w: Workspace, path: str) -> DataFrame:
@@ -87,22 +90,25 @@ def status(w: Workspace, path: str) -> DataFrame:
 def who_is_editing(w: Workspace, path: str, name: str) -> DataFrame:
     entity = resolve(w, path, name)
     claims = state.current_claims(w.log()).filter(F.col("entity_id") == entity).select(F.col("claimed_by").alias("agent_id"), F.lit("claim").alias("how"))
-    return claims.union(state.agent_status(w.log()).filter(F.col("working_on") == entity).select("agent_id", F.lit("working").alias("how")))
+    return claims.union(state.agent_status(w.log()).filter(F.array_contains("working_on", F.lit(entity))).select("agent_id", F.lit("working").alias("how")))
 
 
-def potential_conflicts(w: Workspace, agent_id: str | None = None) -> DataFrame:
-    working = state.agent_status(w.log()).filter("working_on is not null").select(F.col("working_on").alias("entity_id"), "agent_id")
-    found = state.potential_conflicts(working, state.current_claims(w.log()))
+def potential_conflicts(w: Workspace, agent_id: str | None = None, now_ms: int | None = None, timeout_ms: int = 300_000) -> DataFrame:
+    """Entities of the files that several agents work on or claim; with now_ms, after a cleanup of stale agents."""
+    agents, claims = state.agent_status(w.log()), state.current_claims(w.log())
+    if now_ms is not None:
+        agents, claims = state.cleaned_up(w.log(), now_ms, timeout_ms)
+    found = state.potential_conflicts(agents, claims, w.entities())
     return found if agent_id is None else found.filter(F.array_contains("agents", agent_id))
 
 
 def agent_register(w: Workspace, agent_id: str, ts: int) -> DataFrame:
-    w.append(ts, agent_id, None, "register")
+    w.append(ts, agent_id, [None], "register")
     return state.agent_status(w.log()).filter(F.col("agent_id") == agent_id)
 
 
-def agent_heartbeat(w: Workspace, agent_id: str, working_on: str | None, ts: int) -> DataFrame:
-    w.append(ts, agent_id, working_on, "heartbeat")
+def agent_heartbeat(w: Workspace, agent_id: str, working_on: list[str], ts: int) -> DataFrame:
+    w.append(ts, agent_id, working_on or [None], "heartbeat")
     return state.agent_status(w.log()).filter(F.col("agent_id") == agent_id)
 
 

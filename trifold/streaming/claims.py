@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trifold.operators.state import CLAIM_COLUMNS
+from trifold.operators.state import CLAIM_COLUMNS, outcome_of
 
 
 def claim_outcomes(log: DataFrame) -> DataFrame:
@@ -19,15 +19,10 @@ def claim_outcomes(log: DataFrame) -> DataFrame:
         owner = state.get[0] if state.exists else None
         out = []
         for row in pd.concat(list(parts)).sort_values(["ts", "seq"]).itertuples(index=False):
-            if row.op == "claim":
-                outcome = "claimed" if owner is None else "already_owned_by_self" if owner == row.agent_id else "already_claimed"
-                owner = row.agent_id if owner is None else owner
-            else:
-                outcome = "released" if owner is not None and owner == row.agent_id else "ignored"
-                owner = None if outcome == "released" else owner
-            out.append((key[0], row.seq, row.agent_id, row.op, outcome, owner))
+            outcome, owner = outcome_of(owner, row.op, row.agent_id)
+            out.append((key[0], row.ts, row.seq, row.agent_id, row.op, outcome, owner))
         state.update((owner,))
-        yield pd.DataFrame(out, columns=["entity_id", "seq", "agent_id", "op", "outcome", "claimed_by"])
+        yield pd.DataFrame(out, columns=["entity_id", "ts", "seq", "agent_id", "op", "outcome", "claimed_by"])
 
     taken = log.filter(F.col("op").isin("claim", "release")).select("entity_id", "ts", "seq", "agent_id", "op")
     return taken.groupBy("entity_id").applyInPandasWithState(run, CLAIM_COLUMNS, "owner string", "append", GroupStateTimeout.NoTimeout)
