@@ -272,10 +272,13 @@ def extract_regions(text: str, entities: list[Entity]) -> list[Region]:
 
 
 def members(container: Region, entities: list[Entity]) -> tuple[str, list[tuple[str, str]], str] | None:
-    """(head, [(key, chunk)], foot) of a container: its direct members with what stands above each; None without members."""
+    """(head, [(key, chunk)], foot) of a container: its direct members with what stands above each; None without members.
+
+    Members that are no entities (fields, variants, signatures) are told by indentation.
+    """
     own = outermost([e for e in entities if e.parent_id == container.entity.entity_id])
     if not own:
-        return None
+        return plain_members(container.content)
     lines = re.findall(r"[^\n]*\n|[^\n]+", container.content)
     shift = container.entity.end_line - len(lines)
     out, at, seen = [], own[0].start_line - 1 - shift, {}
@@ -286,3 +289,48 @@ def members(container: Region, entities: list[Entity]) -> tuple[str, list[tuple[
         out.append((f"{e.name}#{n}", "".join(lines[at:end])))
         at = end
     return head, out, "".join(lines[at:])
+
+
+#: Words before a member's name.
+MODIFIERS = ["export", "public", "private", "protected", "static", "abstract", "async", "override", "readonly", "pub", "fn", "def", "get", "set"]
+_CALLED = re.compile(r"(\w+)\s*\(")
+_FIRST = re.compile(rf"(?:(?:{'|'.join(MODIFIERS)})(?:\([^)]*\))?\s+)*(\w+)")
+_BESIDE = re.compile(r"//|/\*|\*|#|@|\}|,$")
+
+
+def member_name(line: str) -> str:
+    """The name that stands before the first parenthesis, else the first one after modifiers, else the line's beginning."""
+    bare = line.strip()
+    found = _CALLED.search(re.sub(r"\bpub\([^)]*\)\s*", "", bare)) or _FIRST.match(bare)
+    return found[1] if found else bare[:20]
+
+
+def plain_members(text: str) -> tuple[str, list[tuple[str, str]], str] | None:
+    """(head, [(key, chunk)], foot) of a container by the indentation of its first member; None without members.
+
+    A member begins at a line of that indentation that is no comment, attribute or closing brace, holds what is
+    indented deeper, and takes along the lines between it and the end of the one before.
+    """
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+    opener = next((k for k, x in enumerate(lines) if "{" in x or x.rstrip().endswith(":")), None)
+    if opener is None:
+        return None
+    end = len(lines)
+    if "{" in lines[opener]:
+        end = next((k for k in range(len(lines) - 1, opener, -1) if lines[k].strip() in ("}", "};")), opener)
+    depth = lambda x: len(x) - len(x.lstrip())
+    body = range(opener + 1, end)
+    first = next((depth(lines[k]) for k in body if lines[k].strip()), None)
+    begins = [k for k in body if lines[k].strip() and depth(lines[k]) == first and not _BESIDE.match(lines[k].strip())]
+    if not begins:
+        return None
+    borders = [opener + 1]
+    for before, k in zip(begins, begins[1:]):
+        last = max(j for j in range(before, k) if j == before or lines[j].strip() and (depth(lines[j]) > first or lines[j].strip().startswith("}")))
+        borders.append(last + 1)
+    out, seen = [], {}
+    for k, s, e in zip(begins, borders, [*borders[1:], end]):
+        name = member_name(lines[k])
+        seen[name] = n = seen.get(name, 0) + 1
+        out.append((f"{name}#{n}", "".join(lines[s:e])))
+    return "".join(lines[: opener + 1]), out, "".join(lines[end:])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: File endings that the comparison over real history looks at.
-COMPARED_ENDINGS = [".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs", ".java", ".c", ".h", ".rb", ".cs", ".cpp", ".hpp", ".kt"]
+COMPARED_ENDINGS = [".ts", ".tsx", ".js", ".jsx", ".py", ".rs", ".go", ".java", ".c", ".cpp", ".cc", ".h", ".hpp", ".rb", ".cs"]
 
 
 def eligible(cases: DataFrame) -> DataFrame:
