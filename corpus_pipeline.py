@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trifold.llm import decontam, neardup, packing, pii, quality_fm
-from trifold.llm.common import cut, table
+from trifold.llm.common import table
+from trifold.storage import cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

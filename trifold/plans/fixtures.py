@@ -103,16 +103,18 @@ log AS (
 
 
 def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges (src, dst): a supplier's entity depends on the parts that it delivers below the modulus, parts on parts of half their number."""
-    items = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), (F.col("l_partkey") % 97).cast("string")).alias("dst"))
-    numbers = spark.range(2, 97).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("src"), F.concat(F.lit("p"), F.floor(F.col("id") / 2).cast("string")).alias("dst"))
-    return items.union(numbers).distinct()
+    """Edges (src, dst): a supplier's entity depends on the parts that it delivers, a part on the part of half its number."""
+    named = lambda mark, k: F.concat(F.lit(mark), k.cast("string"))
+    items = table(spark, sf_dir, "lineitem").select(named("s", F.col("l_suppkey")).alias("src"), named("p", F.col("l_partkey")).alias("dst"))
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").filter(k > 1).select(named("p", k).alias("src"), named("p", F.floor(k / 2)).alias("dst"))
+    return items.union(parts).distinct()
 
 
 GRAPH_SQL = """
 edges AS (
-  SELECT DISTINCT 's' || l_suppkey AS src, 'p' || (l_partkey % 97) AS dst FROM lineitem
-  UNION SELECT 'p' || i, 'p' || (i // 2) FROM range(2, 97) r(i))
+  SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem
+  UNION SELECT 'p' || p_partkey, 'p' || (p_partkey // 2) FROM part WHERE p_partkey > 1)
 """
 
 
@@ -134,7 +136,7 @@ def name_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 
 NAMES_SQL = """
-p AS (SELECT p_partkey AS k, p_type, p_size FROM part WHERE p_partkey <= 20000),
+p AS (SELECT p_partkey AS k, p_type, p_size FROM part),
 bodies AS (SELECT k, md5('def __ENTITY__(x): return x * ' || (k % 1009) || ' # ' || p_type) AS body, md5('S' || (k % 1009) || '-' || p_size) AS shape FROM p),
 base AS (SELECT 'f' || k AS entity_id, k AS ord, body, shape FROM bodies),
 ours AS (SELECT CASE WHEN k % 7 = 0 THEN 'g' ELSE 'f' END || k AS entity_id, k AS ord, body, shape FROM bodies),
@@ -144,11 +146,12 @@ theirs AS (SELECT CASE WHEN k % 5 = 0 THEN 'h' ELSE 'f' END || k AS entity_id, k
 
 def renames_sql(side: str) -> str:
     return f"""
+{side}_bodies AS (SELECT body, max_by(entity_id, ord) AS id FROM base GROUP BY body),
+{side}_shapes AS (SELECT shape, max_by(entity_id, ord) AS id FROM base GROUP BY shape),
 {side}_hits AS (
-  SELECT n.entity_id AS branch_id, n.ord, coalesce(
-    (SELECT max_by(b.entity_id, b.ord) FROM base b WHERE b.body = n.body),
-    (SELECT max_by(b.entity_id, b.ord) FROM base b WHERE b.shape = n.shape)) AS base_id
-  FROM {side} n WHERE n.entity_id NOT IN (SELECT entity_id FROM base)),
+  SELECT n.entity_id AS branch_id, n.ord, coalesce(b.id, s.id) AS base_id
+  FROM {side} n LEFT JOIN {side}_bodies b ON b.body = n.body LEFT JOIN {side}_shapes s ON s.shape = n.shape
+  WHERE n.entity_id NOT IN (SELECT entity_id FROM base)),
 {side}_renames AS (
   SELECT base_id, min_by(branch_id, ord) AS branch_id FROM {side}_hits
   WHERE base_id IS NOT NULL AND base_id NOT IN (SELECT entity_id FROM {side}) GROUP BY base_id)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trifold.functions import text
@@ -140,17 +140,19 @@ def word_boundary_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- ranges, names and order within files
 
-RANGES_SQL = "e AS (SELECT l_orderkey % 100 AS file, l_linenumber AS n, l_orderkey AS k, l_partkey % 200 AS start_line, l_partkey % 200 + CAST(l_quantity AS BIGINT) AS end_line FROM lineitem WHERE l_linenumber = 1)"
+# a file is 32 orders, and every line item is an entity of it
+RANGES_SQL = "e AS (SELECT l_orderkey // 32 AS file, l_orderkey * 10 + l_linenumber AS k, l_partkey % 200 AS start_line, l_partkey % 200 + CAST(l_quantity AS BIGINT) AS end_line FROM lineitem)"
 
 
 def ranges(spark: SparkSession, d: str) -> DataFrame:
-    items = fx.table(spark, d, "lineitem").filter("l_linenumber = 1")
     start = F.col("l_partkey") % 200
-    return items.select((F.col("l_orderkey") % 100).alias("file"), F.col("l_orderkey").alias("k"), start.alias("start_line"), (start + F.col("l_quantity").cast("long")).alias("end_line"))
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return fx.table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 32).alias("file"), key.alias("k"), start.alias("start_line"), (start + F.col("l_quantity").cast("long")).alias("end_line"))
 
 
-@query(f"""WITH {RANGES_SQL} SELECT file, k, start_line, end_line FROM e a WHERE NOT EXISTS (
-  SELECT 1 FROM e b WHERE a.file = b.file AND b.start_line <= a.start_line AND b.end_line >= a.end_line AND (b.start_line < a.start_line OR b.end_line > a.end_line))""")
+@query(f"""WITH {RANGES_SQL}, r AS (SELECT DISTINCT file, start_line, end_line FROM e),
+reach AS (SELECT *, max(end_line) OVER (PARTITION BY file ORDER BY start_line, end_line DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
+SELECT file, k, start_line, end_line FROM e JOIN reach USING (file, start_line, end_line) WHERE before IS NULL OR before < end_line""")
 def nested_filter(spark: SparkSession, d: str) -> DataFrame:
     return entities.outermost(ranges(spark, d), ["file"]).select("file", "k", "start_line", "end_line")
 
@@ -234,14 +236,12 @@ def decorator_merge(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "part").select(k.alias("k"), F.array_join(text.merge_decorators(*sides), " ").alias("decorators"))
 
 
-@query("""WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM r)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (before IS NULL OR line <> before OR trim(line) = '') AS kept FROM p GROUP BY doc_id""")
+@query(f"""WITH r AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, {LINES_SQL.format('text')} AS l FROM documents)),
+p AS (SELECT *, lag(line) OVER w AS b1, lag(line, 2) OVER w AS b2 FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS x FROM p WHERE CASE WHEN trim(line) = '' THEN NOT coalesce(trim(b1) = '' AND trim(b2) = '', false) ELSE b1 IS NULL OR line <> b1 END GROUP BY doc_id)
+SELECT doc_id, md5(coalesce(x, '') || CASE WHEN ends_with(text, chr(10)) AND NOT ends_with(coalesce(x, ''), chr(10)) THEN chr(10) ELSE '' END) AS cleaned_md5 FROM documents LEFT JOIN k USING (doc_id)""")
 def dedupe_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = fx.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    marked = lines.withColumn("before", F.lag("line").over(Window.partitionBy("doc_id").orderBy("n")))
-    kept = F.col("before").isNull() | (F.col("line") != F.col("before")) | (text.trimmed(F.col("line")) == "")
-    return marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(kept).alias("kept"))
+    return fx.table(spark, d, "documents").select("doc_id", F.md5(text.cleanup(F.col("text")).cast("binary")).alias("cleaned_md5"))
 
 
 @query("SELECT doc_id, md5(regexp_replace(replace(text, chr(10), repeat(chr(10), CAST(1 + doc_id % 5 AS BIGINT))), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g')) AS capped_md5 FROM documents".replace("\\\\", "\\"))
@@ -390,16 +390,17 @@ def graph_dependents(spark: SparkSession, d: str) -> DataFrame:
     return graph.dependents(fx.part_graph(spark, d), spark.createDataFrame([("p3",), ("p40",)], "id string"))
 
 
-@query(f"""WITH RECURSIVE {fx.GRAPH_SQL}, reach AS (SELECT 'p5' AS id, 0 AS depth UNION SELECT e.src, r.depth + 1 FROM reach r JOIN edges e ON e.dst = r.id WHERE r.depth < 64)
+@query(f"""WITH RECURSIVE {fx.GRAPH_SQL}, reach AS (SELECT 'p5' AS id, 0 AS depth UNION SELECT e.src, r.depth + 1 FROM reach r JOIN edges e ON e.dst = r.id)
 SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY id HAVING min(depth) > 0""")
 def impact(spark: SparkSession, d: str) -> DataFrame:
     return graph.impact(fx.part_graph(spark, d), spark.createDataFrame([("p5",)], "id string"))
 
 
-@query(f"WITH {fx.GRAPH_SQL}, m AS (SELECT DISTINCT 'p' || i AS id FROM range(0, 97, 3) r(i) UNION SELECT 's' || i FROM range(0, 50, 2) r(i)) SELECT src, dst FROM edges WHERE src IN (SELECT id FROM m) AND dst IN (SELECT id FROM m) AND src <> dst")
+@query(f"WITH {fx.GRAPH_SQL}, m AS (SELECT 'p' || p_partkey AS id FROM part WHERE p_size % 3 = 0 UNION SELECT 's' || s_suppkey FROM supplier WHERE s_nationkey % 2 = 0) SELECT src, dst FROM edges WHERE src IN (SELECT id FROM m) AND dst IN (SELECT id FROM m) AND src <> dst")
 def validate_warnings(spark: SparkSession, d: str) -> DataFrame:
-    named = lambda mark, *r: spark.range(*r).select(F.concat(F.lit(mark), F.col("id").cast("string")).alias("id"))
-    return graph.validate(fx.part_graph(spark, d), named("p", 0, 97, 3).union(named("s", 0, 50, 2)))
+    parts = fx.table(spark, d, "part").filter("p_size % 3 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
+    suppliers = fx.table(spark, d, "supplier").filter("s_nationkey % 2 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
+    return graph.validate(fx.part_graph(spark, d), parts.union(suppliers))
 
 
 # ---- state
@@ -417,31 +418,59 @@ def entity_status(spark: SparkSession, d: str) -> DataFrame:
 
 AGENTS_SQL = f"""{fx.LOG_SQL}, known AS (SELECT agent_id, min((ts, seq)) AS since FROM log WHERE op = 'register' GROUP BY agent_id),
 seen AS (SELECT l.*, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, seq DESC) AS rn FROM log l JOIN known USING (agent_id) WHERE op IN ('register', 'heartbeat') AND (ts, seq) >= since),
-agents AS (SELECT agent_id, ts AS last_seen, CASE WHEN op = 'heartbeat' THEN entity_id END AS working_on FROM seen WHERE rn = 1)"""
+agents AS (SELECT agent_id, ts AS last_seen, CASE WHEN op = 'heartbeat' THEN entity_id ELSE '' END AS working_on FROM seen WHERE rn = 1)"""
+#: Claims and releases, replayed one step of every entity at a time.
+CLAIMS_SQL = """steps AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts, seq) AS rn FROM log WHERE op IN ('claim', 'release')),
+folded AS (
+  SELECT entity_id, ts, seq, agent_id, op, rn, CASE op WHEN 'claim' THEN 'claimed' ELSE 'ignored' END AS outcome, CASE op WHEN 'claim' THEN agent_id END AS claimed_by FROM steps WHERE rn = 1
+  UNION ALL
+  SELECT s.entity_id, s.ts, s.seq, s.agent_id, s.op, s.rn,
+    CASE WHEN s.op = 'release' THEN CASE WHEN f.claimed_by = s.agent_id THEN 'released' ELSE 'ignored' END
+         WHEN f.claimed_by IS NULL THEN 'claimed' WHEN f.claimed_by = s.agent_id THEN 'already_owned_by_self' ELSE 'already_claimed' END,
+    CASE WHEN s.op = 'claim' THEN coalesce(f.claimed_by, s.agent_id) WHEN f.claimed_by = s.agent_id THEN NULL ELSE f.claimed_by END
+  FROM folded f JOIN steps s ON s.entity_id = f.entity_id AND s.rn = f.rn + 1),
+claims AS (SELECT entity_id, arg_max(coalesce(claimed_by, ''), rn) AS claimed_by FROM folded GROUP BY entity_id HAVING arg_max(coalesce(claimed_by, ''), rn) <> '')"""
+NOW, TIMEOUT = 1706659200000, 86400000
 
 
 @query(f"WITH {AGENTS_SQL} SELECT agent_id, last_seen, working_on FROM agents")
 def agent_status(spark: SparkSession, d: str) -> DataFrame:
-    return state.agent_status(fx.operation_log(spark, d))
+    return state.agent_status(fx.operation_log(spark, d)).withColumn("working_on", F.array_join("working_on", ","))
 
 
-@query(f"WITH {AGENTS_SQL} SELECT agent_id, last_seen FROM agents WHERE 1706659200000 - last_seen > 86400000")
+@query(f"WITH {AGENTS_SQL} SELECT agent_id, last_seen FROM agents WHERE {NOW} - last_seen > {TIMEOUT}")
 def stale_agents(spark: SparkSession, d: str) -> DataFrame:
-    return state.stale_agents(state.agent_status(fx.operation_log(spark, d)), 1706659200000, 86400000)
+    return state.stale_agents(state.agent_status(fx.operation_log(spark, d)), NOW, TIMEOUT)
 
 
-@query()
+@query(f"WITH RECURSIVE {fx.LOG_SQL}, {CLAIMS_SQL} SELECT entity_id, ts, seq, agent_id, op, outcome, claimed_by FROM folded")
 def claim_fold(spark: SparkSession, d: str) -> DataFrame:
     return state.fold_claims(fx.operation_log(spark, d))
 
 
-@query(f"""WITH {fx.LOG_SQL}, w AS (SELECT DISTINCT entity_id, agent_id FROM log WHERE op IN ('heartbeat', 'claim') AND seq % 10 = 0)
-SELECT entity_id, array_to_string(list_sort(list(agent_id)), ',') AS agents, count(*) AS n_agents FROM w GROUP BY entity_id HAVING count(*) > 1""")
+@query(f"WITH RECURSIVE {fx.LOG_SQL}, {CLAIMS_SQL} SELECT entity_id, claimed_by FROM claims")
+def current_claims(spark: SparkSession, d: str) -> DataFrame:
+    return state.current_claims(fx.operation_log(spark, d))
+
+
+@query(f"""WITH RECURSIVE {AGENTS_SQL}, {CLAIMS_SQL}
+SELECT agent_id, CASE WHEN {NOW} - last_seen > {TIMEOUT} THEN 'stale' ELSE 'active' END AS status, coalesce(n, 0) AS claims
+FROM agents LEFT JOIN (SELECT claimed_by AS agent_id, count(*) AS n FROM claims WHERE claimed_by NOT IN (SELECT agent_id FROM agents WHERE {NOW} - last_seen > {TIMEOUT}) GROUP BY claimed_by) USING (agent_id)""")
+def cleanup(spark: SparkSession, d: str) -> DataFrame:
+    agents, claims = state.cleaned_up(fx.operation_log(spark, d), NOW, TIMEOUT)
+    held = claims.groupBy(F.col("claimed_by").alias("agent_id")).agg(F.count(F.lit(1)).alias("n"))
+    return agents.join(held, "agent_id", "left").select("agent_id", "status", F.coalesce("n", F.lit(0)).alias("claims"))
+
+
+@query(f"""WITH RECURSIVE {AGENTS_SQL}, {CLAIMS_SQL}, w AS (
+  SELECT working_on AS entity_id, agent_id FROM agents WHERE working_on <> '' AND {NOW} - last_seen <= {TIMEOUT}
+  UNION SELECT entity_id, claimed_by FROM claims WHERE claimed_by NOT IN (SELECT agent_id FROM agents WHERE {NOW} - last_seen > {TIMEOUT}))
+SELECT entity_id, array_to_string(list_sort(list(agent_id)), ',') AS agents, count(*) AS n_agents FROM w
+WHERE entity_id IN (SELECT entity_id FROM log WHERE op = 'modify') GROUP BY entity_id HAVING count(*) > 1""")
 def potential_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    log = fx.operation_log(spark, d).filter("seq % 10 = 0")
-    working = log.filter("op = 'heartbeat'").select("entity_id", "agent_id")
-    claims = log.filter("op = 'claim'").select("entity_id", F.col("agent_id").alias("claimed_by"))
-    return state.potential_conflicts(working, claims).select("entity_id", F.array_join("agents", ",").alias("agents"), "n_agents")
+    log = fx.operation_log(spark, d)
+    found = state.potential_conflicts(*state.cleaned_up(log, NOW, TIMEOUT), state.entity_status(log))
+    return found.select("entity_id", F.array_join("agents", ",").alias("agents"), "n_agents")
 
 
 @query("""WITH s AS (SELECT 'e' || c_custkey AS entity_id, c_name AS name, 'function' AS entity_type, 'f' || c_nationkey AS file_path, md5(c_name) AS content_hash, CASE WHEN c_custkey % 4 = 0 THEN 'agent' END AS claimed_by, 1 + c_custkey % 3 AS version FROM customer WHERE c_custkey % 2 = 0),
