@@ -1,11 +1,8 @@
-"""Helpers shared by the training-data operators: tables, shared scratch space, order-preserving buckets."""
+"""Helpers shared by the training-data operators: tables, bounded broadcasts, order-preserving buckets."""
 
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,71 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one, on one machine only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trifold-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def write_shared(df: DataFrame, name: str) -> str:
-    """Write df as Parquet into the shared folder and return the path."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Cut the lineage: write df into the shared folder and read it again."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
-
-
-def drop_shared(spark: SparkSession, path: str) -> None:
-    """Delete a table written by write_shared once nothing reads it any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-class Scratch:
-    """The intermediate tables of one run: written by cut, deleted when the run is over.
-
-    What the run returns must not read them: `result` writes it as a table that stays.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        self.paths.append(write_shared(df, name))
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
-
-    def result(self, df: DataFrame, name: str) -> DataFrame:
-        return cut(df, name)
-
-    def __exit__(self, *_) -> None:
-        for path in self.paths:
-            drop_shared(self.spark, path)
-
-
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast df, whose rows are a few numbers, if its counted rows are within BROADCAST_ROWS; else the planner shuffles it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def broadcast_strings(df: DataFrame, column: str) -> DataFrame:
-    """Broadcast df, which has one column of strings, if its counted rows and bytes are within bounds."""
+def few_strings(df: DataFrame, column: str) -> bool:
+    """Whether df, which has one column of strings, is small enough to be broadcast, by rows and bytes."""
     rows, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(column))).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
 def quantile_splits(df: DataFrame, column: str, buckets: int) -> list[float]:

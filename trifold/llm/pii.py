@@ -16,8 +16,9 @@ or not: all their occurrences become spans of kind ``term``. In the sanitised te
 a term that occurs with its entity only is removed, others become ``[TERM]``; base
 spans become ``[EMAIL]``, ``[IP]``, ``[CARD]`` and ``[PHONE]``.
 
-Counts cover all documents. Only candidate terms (those with enough support) are
-counted in the whole corpus, which keeps the shuffle to their occurrences.
+Counts cover all documents and are exact. Each distinct sentence moves once and
+its words are counted where it lands, so that the shuffle follows the input. Only
+candidate terms (those with enough support) are counted while they are few.
 
 Only DataFrame functions are used. The patterns are written with possessive
 quantifiers and a look-behind so that no text makes Java's matcher backtrack
@@ -25,7 +26,8 @@ or recurse deeply; they match exactly what the plain patterns match. Positions
 are code points, end exclusive.
 
 Defined results: null is the empty text, without spans; rows that share a doc_id
-share their terms; an empty table gives no row; further columns are not read by
+share their terms; a row with null doc_id has its base spans only; very long texts
+are read whole; an empty table gives no row; further columns are not read by
 the query and kept by `sanitised`.
 """
 
@@ -34,7 +36,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trifold.llm.common import cut, fresh, let, maybe_broadcast
+from trifold.llm.common import few_strings, fresh, let
+from trifold.storage import Scratch, cut
 
 KINDS = ("email", "ip", "card", "phone")
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -126,25 +129,27 @@ def based_rows(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", "text", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.array_sort(F.concat(*KINDS)).alias("base"))
 
 
-def found_base(docs: DataFrame) -> DataFrame:
-    """The texts that have spans. Stored."""
-    return cut(based_rows(docs).filter(F.size("base") > 0).select("text"), "base-spans")
-
-
-def disclosing_terms(docs: DataFrame, based: DataFrame, alpha: float = 0.95, support: int = 2) -> DataFrame:
+def disclosing_terms(docs: DataFrame, hold: Scratch, alpha: float = 0.95, support: int = 2) -> DataFrame:
     """entity, term, ratio (PMI / IC) and alone (the term occurs with this entity only), for terms at or above alpha."""
+    based = hold.cut(based_rows(docs).filter(F.size("base") > 0).select("text"), "base-spans")
     held = based.select(F.explode(F.split("text", SENTENCE)).alias("sentence"))
     held = held.select("sentence", F.explode_outer(entities(F.col("sentence"))).alias("entity")).filter("entity is not null").distinct()
     of_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     together = held.select("entity", F.explode_outer(terms_of(F.col("sentence"))).alias("term")).filter("term is not null")
     together = together.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support)
-    together = cut(together.join(of_entity, "entity"), "co-occurrence")
-
-    wanted = cut(together.select("term").distinct(), "candidate-terms")
-    sentences = docs.select(F.explode_outer(F.split("text", SENTENCE)).alias("sentence")).filter("sentence is not null")
-    words = sentences.select(F.xxhash64("sentence").alias("of"), F.explode_outer(F.array_distinct(F.split(F.lower("sentence"), r"[^\p{L}]+"))).alias("term"))
-    counted = words.join(maybe_broadcast(wanted, wanted.count()), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = F.lit(sentences.agg(F.approx_count_distinct(F.xxhash64("sentence"), 0.02)).first()[0])
+    together = hold.cut(together.join(of_entity, "entity"), "co-occurrence")
+
+    # the empty term stands for every sentence once, so its count is N; sentences move once each, words are counted where they are
+    sentences = docs.select(F.explode_outer(F.split("text", SENTENCE)).alias("sentence")).filter("sentence is not null").distinct()
+    words = sentences.select(F.explode(F.array_union(F.split(F.lower("sentence"), r"[^\p{L}]+"), F.array(F.lit("")))).alias("term"))
+    wanted = together.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    wanted = hold.cut(wanted, "candidate-terms")
+    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    if few_strings(wanted, "term"):
+        counted = words.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counted = hold.cut(counted, "term-counts")
+    row = counted.filter("term = ''").first()
+    total = F.lit(row["n_t"] if row else 0)
     rated = together.join(counted, "term")
     pmi = F.log2(F.col("n_te") * total / (F.greatest("n_t", "n_te") * F.col("n_e")))
     ratio = pmi / F.log2(F.greatest(total / F.col("n_e"), F.lit(1.0 + 1e-9)))
@@ -153,17 +158,18 @@ def disclosing_terms(docs: DataFrame, based: DataFrame, alpha: float = 0.95, sup
 
 def document_terms(docs: DataFrame, **options) -> DataFrame:
     """doc_id with terms (to generalise) and alone (to remove), for documents that have a term which discloses any entity."""
-    found = disclosing_terms(docs, found_base(docs), **options).groupBy("term").agg(F.max("alone").alias("alone"))
-    found = cut(found, "disclosing-terms")
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    each = words.join(maybe_broadcast(found, found.count()), "term").groupBy("doc_id")
-    return cut(each.agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("alone"), F.col("term"))).alias("alone")), "document-terms")
+    with Scratch(docs.sparkSession) as hold:
+        found = disclosing_terms(docs, hold, **options).groupBy("term").agg(F.max("alone").alias("alone"))
+        found = hold.cut(found, "disclosing-terms")
+        words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
+        each = words.join(F.broadcast(found) if few_strings(found, "term") else found, "term").groupBy("doc_id")
+        return cut(each.agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("alone"), F.col("term"))).alias("alone")), "document-terms")
 
 
 def detect(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     terms = document_terms(docs, **options)
-    with_terms = based_rows(docs).join(terms.withColumnRenamed("doc_id", "__of"), F.col("doc_id") == F.col("__of"), "left")
+    with_terms = based_rows(docs).join(terms.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left")
     found = located(F.col("text"), LETTERS, len(KINDS), "term", lambda m: F.array_contains("terms", F.lower(m)))
     clear = F.filter(found, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     every = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", clear)))
