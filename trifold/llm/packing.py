@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trifold.llm.common import bound_batches, cut, release_memory, salted
+from trifold.llm.common import bound_batches, release_memory, salted
 from trifold.llm.tokens import encoder, forget_encoder
+from trifold.storage import cut
 
 
 def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, weights=(1.0, 0.05, 0.05), rule: str = "residual_norm"):

@@ -18,9 +18,10 @@ every store that Spark reaches can hold them, and a retried task leaves no half
 file. `export_segments` copies the images out as plain files.
 
 Defined results: null text is the empty text; an empty document holds the end
-id alone; rows that share a doc_id are separate documents, ordered by their
-ids' bytes; a null doc_id comes first and is stored as the least int64; an
-empty table gives no segment; further columns of the input are not read.
+id alone; rows that share a doc_id are separate documents, ordered by a hash of
+the text and then the text; a null doc_id comes first and is stored as the least
+int64; a very long text makes one long segment; an empty table gives no segment;
+further columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trifold.llm.common import bound_batches, cut, drop_shared, quantile_splits, range_bucket, release_memory, write_shared
+from trifold.llm.common import bound_batches, maybe_broadcast, release_memory
 from trifold.llm.tokens import encoder, forget_encoder
+from trifold.storage import cut, drop_shared, write_shared
 
 MAGIC, VERSION, BLOCK_IDS = 0x54464249, 1, 4096
 NO_ID = -(1 << 63)
@@ -112,114 +115,95 @@ class Segment:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def encode_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, bucket) plus the ids of each text and the end id, in the fewest whole bytes that hold the vocabulary."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
-        narrow = max(code.largest_id, end_id) < 1 << 16
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            found = [code.encode(t or "") + end for t in batch["text"].to_pylist()]
-            if narrow:
-                found = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["bucket"], pa.array(found, pa.binary())], ["doc_id", "bucket", "ids"])
-        release_memory()
-
-    return docs.select("doc_id", "bucket", "text").mapInArrow(run, "doc_id long, bucket int, ids binary")
-
-
-def write_segments(docs: DataFrame, tokenizer: str, end_id: int, segment_ids: int = 1 << 19, bucket_docs: int = 50_000) -> str:
+def write_segments(docs: DataFrame, tokenizer: str, end_id: int, segment_ids: int = 1 << 19, run_docs: int = 12_500) -> str:
     """Encode docs and write segments in ascending doc_id order; returns the table's path.
 
-    Buckets are runs of doc_id of about bucket_docs rows; their borders come from
-    a quantile sketch over the ids alone, so texts are encoded once. A segment
-    closes when it holds segment_ids ids or its bucket ends.
+    Texts are dealt by ranges of (doc_id, hash of the text), about run_docs rows
+    each, so that no doc_id fills one task; each task sorts its range, encodes it
+    and packs the ids at once. Ids never move. A segment closes when it holds
+    segment_ids ids or its range ends.
     """
     from tokenizers import Tokenizer
 
     bound_batches(docs.sparkSession)
-    largest = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) - 1, end_id)
-    width = bit_width(largest)
-    buckets = max(1, min(4096, -(-docs.select("doc_id").count() // bucket_docs) * 4))
-    splits = quantile_splits(docs, "doc_id", buckets)
-    placed = docs.select("doc_id", "text", range_bucket(F.col("doc_id"), splits).alias("bucket"))
-    held = "<u2" if largest < 1 << 16 else "<u4"
+    width = bit_width(max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) - 1, end_id))
+    runs = max(1, -(-docs.select("doc_id").count() // run_docs))
+    made = pa.schema([("run", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("image", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_encoder()
-        now, number = None, 0
+        code, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        now, number = TaskContext.get().partitionId(), 0
         doc_ids, ids, total = [], [], 0
 
         def close() -> pa.RecordBatch:
             nonlocal doc_ids, ids, total, number
-            lengths = np.array([len(x) for x in ids], np.int64)
-            image = write_segment(np.array(doc_ids, np.int64), lengths, np.concatenate(ids), width)
-            out = pa.RecordBatch.from_pylist([{"bucket": now, "segment": number, "n_ids": total, "n_docs": len(ids), "image": image}], schema=made)
+            lengths = np.array([len(x) for x in ids], np.int64) // 4
+            image = write_segment(np.array(doc_ids, np.int64), lengths, np.frombuffer(b"".join(ids), "<u4"), width)
+            out = pa.RecordBatch.from_pylist([{"run": now, "segment": number, "n_ids": total // 4, "n_docs": len(ids), "image": image}], schema=made)
             doc_ids, ids, total, number = [], [], 0, number + 1
             return out
 
-        made = pa.schema([("bucket", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("image", pa.binary())])
         for batch in batches:
-            for bucket, doc_id, one in zip(batch["bucket"].to_pylist(), batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
-                if ids and (bucket != now or total >= segment_ids):
-                    yield close()
-                if bucket != now:
-                    now, number = bucket, 0
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 doc_ids.append(NO_ID if doc_id is None else doc_id)
-                ids.append(np.frombuffer(one, held))
+                ids.append(code.encode(text or "") + end)
                 total += len(ids[-1])
+                if total >= 4 * segment_ids:
+                    yield close()
         if ids:
             yield close()
         release_memory()
 
-    ordered = encode_ids(placed, tokenizer, end_id).repartition(min(buckets, 4096), "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
-    return write_shared(ordered.mapInArrow(run, "bucket int, segment int, n_ids long, n_docs long, image binary"), "segments")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash").asc()]
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    ordered = keyed.repartitionByRange(runs, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    return write_shared(ordered.select("doc_id", "text").mapInArrow(run, "run int, segment int, n_ids long, n_docs long, image binary"), "segments")
 
 
 def read_segments(spark, path: str) -> DataFrame:
     """One row per stored document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Offsets are summed per bucket (at most 4,096 rows meet in one task), then per segment within its bucket.
+    Offsets are summed per run (one row each meets in one task), then per segment within its run.
     """
     files = spark.read.parquet(path)
-    sizes = files.select("bucket", "segment", "n_ids")
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    of_bucket = sizes.groupBy("bucket").agg(F.sum("n_ids").alias("all")).select("bucket", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("bucket").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.join(of_bucket, "bucket").select("bucket", "segment", (F.col("base") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("base"))
+    sizes = files.select("run", "segment", "n_ids")
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    of_run = sizes.groupBy("run").agg(F.sum("n_ids").alias("all")).select("run", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("run").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.join(of_run, "run").select("run", "segment", (F.col("base") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoder()
         for batch in batches:
-            for bucket, number, image in zip(batch["bucket"].to_pylist(), batch["segment"].to_pylist(), batch["image"], strict=True):
-                one = Segment(image.as_py())
-                flat = one.ids().astype("<u4").tobytes()
+            for number, segment, image in zip(batch["run"].to_pylist(), batch["segment"].to_pylist(), batch["image"], strict=True):
+                one = Segment(image.as_buffer())
+                flat = one.ids().astype("<u4", copy=False).tobytes()
                 starts = one.starts.tolist()
                 crcs = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(starts, starts[1:])]
                 n = len(crcs)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(n, bucket, np.int32)),
                         pa.array(np.full(n, number, np.int32)),
+                        pa.array(np.full(n, segment, np.int32)),
                         pa.array([None if x == NO_ID else x for x in one.doc_ids.tolist()], pa.int64()),
                         pa.array(starts[:-1], pa.int64()),
                         pa.array(np.diff(one.starts)),
                         pa.array(crcs, pa.int64()),
                     ],
-                    ["bucket", "segment", "doc_id", "local", "n_tokens", "ids_crc32"],
+                    ["run", "segment", "doc_id", "local", "n_tokens", "ids_crc32"],
                 )
+        release_memory()
 
-    read = files.select("bucket", "segment", "image").mapInArrow(run, "bucket int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return read.join(offsets, ["bucket", "segment"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    read = files.select("run", "segment", "image").mapInArrow(run, "run int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    return read.join(maybe_broadcast(offsets, files.count()), ["run", "segment"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def export_segments(spark, path: str, folder: str) -> int:
     """Copy the file images to a local folder, one at a time; returns their number."""
     os.makedirs(folder, exist_ok=True)
     n = 0
-    for row in spark.read.parquet(path).orderBy("bucket", "segment").toLocalIterator():
-        with open(os.path.join(folder, f"{row.bucket:05d}-{row.segment:05d}.tfb"), "wb") as f:
+    for row in spark.read.parquet(path).orderBy("run", "segment").toLocalIterator():
+        with open(os.path.join(folder, f"{row.run:07d}-{row.segment:05d}.tfb"), "wb") as f:
             f.write(row.image)
         n += 1
     return n

@@ -27,7 +27,9 @@ _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SIGN_SET = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: A word with the space before it, or white space as the byte-level layout groups it.
 _RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_GENERATION = 100_000
+#: Bytes that a generation of the main memory and of the small ones may hold, what an entry takes besides its
+#: characters and ids, and the longest piece that is remembered.
+_MAIN, _SMALL, _ENTRY, _LONGEST = 64 << 20, 4 << 20, 160, 64
 
 
 def _byte_letters() -> list[str]:
@@ -38,18 +40,22 @@ def _byte_letters() -> list[str]:
 
 
 class _Memory(dict):
-    """A two-generation cache: at most twice _GENERATION entries, recently used ones stay."""
+    """A cache of two generations, each bounded in bytes; recently used entries stay, and long pieces never enter."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.limit, self.old, self.size = make, limit, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece) or self.make(piece)
-        if len(self) >= _GENERATION:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= _LONGEST:
+            self.size += _ENTRY + len(piece) + len(ids)
+            if self.size > self.limit:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[piece] = ids
         return ids
 
 
@@ -88,9 +94,9 @@ class Encoder:
             self.parts = re.compile(f"{_CONTRACTIONS}|[{_LETTERS}]+|[0-9]|[{_SIGNS}]+").findall
         self.letters = dict(enumerate(_byte_letters()))
         self.tokenize = self.tokenizer.model.tokenize
-        self.of_part = _Memory(self._part)
-        self.of_piece = _Memory(self._piece)
-        self.of_spaced = _Memory(lambda piece: self._piece(piece, " "))
+        self.of_part = _Memory(self._part, _SMALL)
+        self.of_piece = _Memory(self._piece, _SMALL if self.spaces else _MAIN)
+        self.of_spaced = _Memory(lambda piece: self._piece(piece, " "), _MAIN)
         self.newline = self.whole("\n") if self.spaces else b""
 
     def _part(self, part: str) -> bytes:
@@ -101,11 +107,13 @@ class Encoder:
         if self.lower:
             if not piece.isascii() and _KNOWN.fullmatch(piece) is None:
                 return self.whole(piece)
-            piece = piece.lower()
+            if not piece.islower() and (lower := piece.lower()) != piece:
+                return self.of_piece[lower]
         core = piece.rstrip(_SIGN_SET)
         if core.isalpha() and (core.isascii() or max(core) < "\u00ff" and _KNOWN.fullmatch(core)):
-            ids = self.of_part[before + core]
-            return ids + self.of_part[piece[len(core) :]] if len(core) < len(piece) else ids
+            if len(core) == len(piece):
+                return self._part(before + core)
+            return (self.of_spaced if before else self.of_piece)[core] + self.of_part[piece[len(core) :]]
         if piece.split() != [piece]:
             raise _Odd
         piece = before + piece
