@@ -15,10 +15,9 @@ signatures, and the (document, item) pairs found are verified on the exact
 shingle strings of the whole text.
 
 Only DataFrame functions are used. Words are runs of letters and digits in
-lower case; an item of fewer words than a shingle is evidence of nothing and
-never matches.
+lower case.
 
-Defined results: null or empty texts match nothing; items that repeat a text are
+Defined results: null or empty texts, and items without words, match nothing; items that repeat a text are
 reported each; rows that repeat a doc_id are verified one by one and reported
 once; an empty table on either side gives no row; further columns are not read.
 """
@@ -28,7 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trifold.llm.common import cut, let, maybe_broadcast
+from trifold.llm.common import few_strings, fresh, let, maybe_broadcast
+from trifold.storage import Scratch, cut
 
 
 def word_list(text: Column) -> Column:
@@ -46,46 +46,71 @@ def shingle_texts(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<string>"))
 
 
-def item_signatures(benchmark: DataFrame, size: int, percent: int) -> DataFrame:
-    """item_id, n (distinct shingles), need, part (log2 of n), hash: one row per signature hash."""
-    items = benchmark.select("item_id", word_list(F.col("text")).alias("words")).filter(F.size("words") >= size)
-    hashed = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("words"), size))).alias("hashes"))
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """item_id and words of the items that have any."""
+    return benchmark.select("item_id", word_list(F.col("text")).alias("words")).filter(F.size("words") > 0)
+
+
+def item_signatures(items: DataFrame, size: int, percent: int) -> DataFrame:
+    """item_id, length (of its shingles, in words), n (distinct shingles), need, part (log2 of n), hash: one row per signature hash."""
+    words = F.col("words")
+    own = shingle_hashes(words, size)
+    for k in range(1, size):
+        own = F.when(F.size(words) == k, shingle_hashes(words, k)).otherwise(own)
+    hashed = items.select("item_id", F.least(F.size(words), F.lit(size)).alias("length"), F.array_sort(F.array_distinct(own)).alias("hashes"))
     sized = hashed.withColumn("n", F.size("hashes")).withColumn("need", F.expr(f"cast((n * {percent} + 99) div 100 as int)"))
-    least = sized.select("item_id", "n", "need", F.floor(F.log2("n")).cast("int").alias("part"), F.explode(F.slice("hashes", F.lit(1), F.col("n") - F.col("need") + 1)).alias("hash"))
-    return least
+    return sized.select("item_id", "length", "n", "need", F.floor(F.log2("n")).cast("int").alias("part"), F.explode(F.slice("hashes", F.lit(1), F.col("n") - F.col("need") + 1)).alias("hash"))
+
+
+def within(low: int, high: int):
+    return lambda h: h.between(low, high)
+
+
+def document_sketch(words: Column, ceiling: Column, parts: list, size: int) -> Column:
+    """Hashes of a document's runs that signatures of items it is large enough for can meet."""
+    short = [F.filter(shingle_hashes(words, p["length"]), within(p["floor"], p["ceiling"])) for p in parts if p["length"] < size]
+    whole = [F.filter(shingle_hashes(words, size), lambda h: h <= ceiling)] if len(short) < len(parts) else []
+    return F.concat(*whole, *short) if short else whole[0]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per (doc_id, item_id) with containment: n_shingles of the item, n_shared, containment."""
-    signatures = cut(item_signatures(benchmark, size, percent), "item-signatures")
-    # one row per size partition (at most 32): the fewest words a document needs, and the ceiling of its signatures
-    parts = signatures.groupBy("part").agg(F.min("need").alias("need"), F.max("hash").alias("ceiling")).orderBy("part").collect()
-    if not parts:
-        return signatures.select(F.lit(None).cast("long").alias("doc_id"), "item_id", F.col("n").cast("long").alias("n_shingles"), F.col("n").cast("long").alias("n_shared"), F.lit(0.0).alias("containment")).limit(0)
-    words = docs.select("doc_id", word_list(F.col("text")).alias("words"))
-    held = F.size("words") - (size - 1)
-    ceiling = F.greatest(*[F.when(held >= p["need"], F.lit(p["ceiling"])) for p in parts], F.lit(-(1 << 63)))
-    # the outer form, as the optimiser would else evaluate the array once more to filter out empty ones
-    sketch = F.filter(shingle_hashes(F.col("words"), size), lambda h: h <= F.col("ceiling"))
-    probes = words.withColumn("ceiling", ceiling).select("doc_id", F.explode_outer(sketch).alias("hash"))
-    found = probes.join(maybe_broadcast(signatures.select("item_id", "hash"), signatures.count()), "hash").select("doc_id", "item_id").distinct()
-    candidates = cut(found, "contained-candidates")
-
-    ids = candidates.select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(maybe_broadcast(ids, ids.count()), "doc_id")
-    whole = texts.select("doc_id", let(word_list(F.col("text")), lambda w: F.array_distinct(shingle_texts(w, size))).alias("has"))
-    items = benchmark.select("item_id", word_list(F.col("text")).alias("words")).filter(F.size("words") >= size)
-    items = items.select("item_id", F.array_distinct(shingle_texts(F.col("words"), size)).alias("shingles"))
-    pairs = candidates.join(items, "item_id").join(whole, "doc_id")
-    counted = pairs.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("shingles", "has")).cast("long").alias("n_shared"))
-    kept = counted.filter(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
-    return kept.groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared")).withColumn("containment", F.round(F.col("n_shared") / F.col("n_shingles"), 6))
+    with Scratch(docs.sparkSession) as hold:
+        items = hold.cut(item_words(benchmark), "items")
+        signatures = hold.cut(item_signatures(items, size, percent), "item-signatures")
+        # one row per shingle length and size partition (at most 36): the fewest words a document needs, and the range of its signatures
+        parts = signatures.groupBy("length", "part").agg(F.min("need").alias("need"), F.min("hash").alias("floor"), F.max("hash").alias("ceiling")).orderBy("length", "part").collect()
+        if not parts:
+            return docs.sparkSession.range(0).select("id", "id", "id", "id", F.lit(0.0)).toDF("doc_id", "item_id", "n_shingles", "n_shared", "containment")
+        words = docs.select("doc_id", word_list(F.col("text")).alias("words"))
+        held, lowest = F.size("words") - (size - 1), F.lit(-(1 << 63))
+        ceiling = F.greatest(lowest, lowest, *[F.when(held >= p["need"], F.lit(p["ceiling"])) for p in parts if p["length"] == size])
+        # the outer form, as the optimiser would else evaluate the array once more to filter out empty ones
+        probes = words.withColumn("ceiling", ceiling).select("doc_id", F.explode_outer(document_sketch(F.col("words"), F.col("ceiling"), parts, size)).alias("hash"))
+        found = probes.join(maybe_broadcast(signatures.select("item_id", "hash"), signatures.count()), "hash").select("doc_id", "item_id").distinct()
+        candidates = hold.cut(found, "contained-candidates")
+
+        ids = candidates.select("doc_id").distinct()
+        texts = docs.select("doc_id", "text").join(maybe_broadcast(ids, ids.count()), "doc_id")
+        runs = let(word_list(F.col("text")), lambda w: F.struct(F.array_distinct(shingle_texts(w, size)).alias("has"), F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("line")))
+        whole = texts.select("doc_id", runs.alias("whole")).select("doc_id", "whole.has", "whole.line")
+        short = F.when(F.size("words") < size, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+        sought = items.select("item_id", F.array_distinct(shingle_texts(F.col("words"), size)).alias("shingles"), short.alias("short"))
+        of_item = candidates.join(F.broadcast(sought) if few_strings(items.select(F.array_join("words", " ").alias("line")), "line") else sought, "item_id")
+        pairs = of_item.join(whole, "doc_id")
+        n = F.when(F.col("short").isNull(), F.size("shingles")).otherwise(1)
+        shared = F.when(F.col("short").isNull(), F.size(F.array_intersect("shingles", "has"))).otherwise(F.contains("line", "short").cast("int"))
+        counted = pairs.select("doc_id", "item_id", n.cast("long").alias("n_shingles"), shared.cast("long").alias("n_shared"))
+        kept = counted.filter(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
+        leaks = kept.groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared"))
+        return hold.result(leaks.withColumn("containment", F.round(F.col("n_shared") / F.col("n_shingles"), 6)), "contaminated")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that contain no benchmark item, with their columns."""
-    gone = cut(contaminated(docs, benchmark, size, percent).select(F.col("doc_id").alias("__gone")).distinct(), "leaks")
-    return docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"] == gone["__gone"], "left_anti")
+    (of,) = fresh(docs, "__gone")
+    gone = cut(contaminated(docs, benchmark, size, percent).select(F.col("doc_id").alias(of)).distinct(), "leaks")
+    return docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"] == gone[of], "left_anti")
 
 
 ORACLE_SQL = r"""
@@ -103,7 +128,12 @@ WITH item_words AS (
   FROM doc_words WHERE len(w) >= 5
 ), shared AS (
   SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (s) GROUP BY ALL
+), short AS (
+  SELECT item_id, ' ' || array_to_string(w, ' ') || ' ' AS s FROM item_words WHERE len(w) BETWEEN 1 AND 4
 )
 SELECT doc_id, item_id, n AS n_shingles, n_shared, round(n_shared / n, 6) AS containment
 FROM shared JOIN items USING (item_id) WHERE 100 * n_shared >= 80 * n
+UNION ALL
+SELECT DISTINCT doc_id, item_id, CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS DOUBLE)
+FROM doc_words JOIN short ON contains(' ' || array_to_string(doc_words.w, ' ') || ' ', short.s)
 """
