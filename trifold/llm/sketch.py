@@ -1,25 +1,27 @@
 """Operator 8: threshold-scaled document fingerprints.
 
-A fingerprint keeps every word-shingle hash below 1/scale of the hash range: all
-of them (scale 1) up to `small` shingles, a fixed quarter (scale 4) beyond.
-Hashes are unsigned 32-bit numbers, so a fingerprint of scale 1 becomes one of
-scale 4 by keeping what lies below 2**30; two fingerprints are compared, and
-could be merged, at the coarser scale of both. Of very unequal documents
-`containment` tells how much of the smaller lies in the larger.
-
-Likeness is |A & B| / |A | B| of the sketches, an unbiased-to-O(1/n) estimate of
-the Jaccard similarity of the full sets; where neither sketch has a hash it is 1
-if the fingerprints are equal, else 0.
+A fingerprint keeps every word-shingle hash below 1/scale of the hash range, the
+same fixed fraction for all documents, and the least hash always, so that a
+short document keeps one. Hashes are unsigned 32-bit numbers.
+
+Fingerprints merge: the union of two, less those hashes that are neither below
+the threshold nor the least, is the fingerprint of both documents together. Of
+very unequal documents `containment` tells how much of the smaller lies in the
+larger. Likeness is |A & B| / |A | B| of the hashes below the threshold, an
+unbiased-to-O(1/n) estimate of the Jaccard similarity of the full sets; where no
+hash lies below it, it is whether the least hashes are equal, and 1 for two
+texts without words.
 
 The next document in descending doc_id order is found without a global sort:
 documents go to runs of doc_id by quantile borders, each run is one window
-partition, and a copy of the next run's first document closes each run.
+partition, and a copy of the next run's first document closes each run. Texts
+move once; sketches are made where they land.
 
 Only DataFrame functions are used. Defined results: null is the empty text; a
 text of fewer words than a shingle has the whole sequence as its one shingle;
 a text without words has no hash; rows that share a doc_id are ordered by text;
-null doc_ids come last; a table of one row is its own next document; an empty
-table gives no row; further columns are not read.
+null doc_ids come last; a table of one row is its own next document; very long
+texts are read whole; an empty table gives no row; further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,59 +29,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trifold.llm.common import quantile_splits, range_bucket
+from trifold.llm.common import let, quantile_splits, range_bucket
 
-COARSE, SMALL = 4, 256
+#: One of so many hashes is kept.
+SCALE = 2
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[\s]+"), lambda w: w != "")
 
 
-def sketch_of(words: Column, size: int = 5, small: int = SMALL) -> Column:
-    """Sorted distinct unsigned 32-bit hashes of the shingles that the scale keeps."""
+def threshold(scale: int) -> int:
+    return (1 << 32) // scale
+
+
+def below(sketch: Column, scale: int) -> Column:
+    return F.filter(sketch, lambda h: h < threshold(scale))
+
+
+def sketch_of(words: Column, size: int = 5, scale: int = SCALE) -> Column:
+    """Sorted distinct unsigned 32-bit hashes of the shingles that the threshold keeps, and the least."""
     runs = F.size(words) - (size - 1)
     each = F.transform(F.sequence(F.lit(0), F.greatest(runs - 1, F.lit(0))), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(words, i + j) for j in range(size)]), 32))
     whole = F.array(F.shiftrightunsigned(F.xxhash64(words), 32))
     shingles = F.when(runs > 0, each).when(F.size(words) > 0, whole).otherwise(F.array().cast("array<long>"))
-    ceiling = F.when(runs > small, F.lit((1 << 32) // COARSE)).otherwise(F.lit(1 << 32))
-    return F.array_sort(F.array_distinct(F.filter(shingles, lambda h: h < ceiling)))
-
-
-def scale_of(words: Column, size: int = 5, small: int = SMALL) -> Column:
-    return F.when(F.size(words) - (size - 1) > small, F.lit(COARSE)).otherwise(F.lit(1))
+    return let(shingles, lambda s: kept(s, scale))
 
 
-def fingerprint(sketch: Column, scale: Column) -> Column:
-    """The scale, a colon, and 8 hexadecimal digits for each hash."""
-    return F.concat(scale.cast("string"), F.lit(":"), F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 8, "0")), ""))
+def kept(hashes: Column, scale: int) -> Column:
+    least = F.array_min(hashes)
+    small = F.array_sort(F.array_distinct(below(hashes, scale)))
+    return F.when(least >= threshold(scale), F.array(least)).otherwise(small)
 
 
-def at_scale(sketch: Column, own: Column, other: Column) -> Column:
-    return F.when(own >= other, sketch).otherwise(F.filter(sketch, lambda h: h < (1 << 32) // COARSE))
+def fingerprint(sketch: Column) -> Column:
+    """8 hexadecimal digits for each hash."""
+    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 8, "0")), "")
 
 
-def likeness(a: Column, scale_a: Column, b: Column, scale_b: Column) -> Column:
+def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Estimated Jaccard similarity of two sketches, 0 to 1."""
-    x, y = at_scale(a, scale_a, scale_b), at_scale(b, scale_b, scale_a)
+    x, y = below(a, scale), below(b, scale)
     every = F.size(F.array_union(x, y))
     shared = F.size(x) + F.size(y) - every
-    return F.when(every > 0, shared / every).otherwise(F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(0.0))
+    return F.when(every > 0, shared / every).otherwise((a == b).cast("double"))
 
 
-def containment(a: Column, scale_a: Column, b: Column, scale_b: Column) -> Column:
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Estimated share of a's shingles that b has."""
-    x, y = at_scale(a, scale_a, scale_b), at_scale(b, scale_b, scale_a)
-    return F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x)).otherwise(0.0)
+    x = below(a, scale)
+    return F.when(F.size(x) > 0, F.size(F.array_intersect(x, below(b, scale))) / F.size(x)).otherwise((a == b).cast("double"))
 
 
-def merge(a: Column, scale_a: Column, b: Column, scale_b: Column) -> Column:
-    """The sketch of both documents' shingles together, at the coarser scale."""
-    return F.array_sort(F.array_union(at_scale(a, scale_a, scale_b), at_scale(b, scale_b, scale_a)))
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of both documents' shingles together."""
+    return kept(F.array_union(a, b), scale)
 
 
 def with_next(docs: DataFrame, run_rows: int = 2000) -> DataFrame:
-    """doc_id, text, sketch and scale with next_text, next_sketch, next_scale of the document before in doc_id."""
+    """doc_id, text and sketch with next_text and next_sketch of the document before in doc_id."""
     plain = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     runs = max(1, min(16384, plain.select("doc_id").count() // run_rows))
     placed = plain.withColumn("run", range_bucket(F.col("doc_id"), quantile_splits(plain.select("doc_id"), "doc_id", runs)))
@@ -91,30 +99,30 @@ def with_next(docs: DataFrame, run_rows: int = 2000) -> DataFrame:
     ends = placed.join(F.broadcast(closes), F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("closed").agg(F.min("text").alias("text"))
     ends = ends.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("closed").alias("run"), F.lit(True).alias("end"))
     rows = placed.withColumn("end", F.lit(False)).unionByName(ends)
-    worded = rows.withColumn("words", words_of(F.col("text")))
-    sketched = worded.select("run", "end", "doc_id", "text", sketch_of(F.col("words")).alias("sketch"), scale_of(F.col("words")).alias("scale"))
+    dealt = rows.repartition("run")  # before the sketches, which the window then finds in place
+    sketched = dealt.withColumn("words", words_of(F.col("text"))).select("run", "end", "doc_id", "text", sketch_of(F.col("words")).alias("sketch"))
     follows = Window.partitionBy("run").orderBy("end", F.col("doc_id").desc_nulls_last(), "text")
-    moved = sketched.withColumns({f"next_{c}": F.lead(c).over(follows) for c in ("text", "sketch", "scale")})
+    moved = sketched.withColumns({f"next_{c}": F.lead(c).over(follows) for c in ("text", "sketch")})
     return moved.filter(~F.col("end")).drop("end", "run")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, in_next.
 
     The edited text has its last floor(n_chars / 3) code points replaced by as many first ones of the next document.
     """
     new = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - new), F.substring("next_text", F.lit(1), new))
     edited = with_next(docs).withColumn("edited", edited)
-    worded = edited.withColumn("words", words_of(F.col("edited")))
-    both = worded.select("*", sketch_of(F.col("words")).alias("edited_sketch"), scale_of(F.col("words")).alias("edited_scale"))
+    both = edited.withColumn("words", words_of(F.col("edited"))).select("*", sketch_of(F.col("words")).alias("edited_sketch"))
     c = F.col
     return both.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(c("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(c("sketch"), c("scale")).alias("fingerprint"),
-        fingerprint(c("edited_sketch"), c("edited_scale")).alias("edited_fingerprint"),
-        likeness(c("sketch"), c("scale"), c("edited_sketch"), c("edited_scale")).alias("near_edited"),
-        likeness(c("sketch"), c("scale"), c("next_sketch"), c("next_scale")).alias("near_next"),
+        fingerprint(c("sketch")).alias("fingerprint"),
+        fingerprint(c("edited_sketch")).alias("edited_fingerprint"),
+        likeness(c("sketch"), c("edited_sketch")).alias("near_edited"),
+        likeness(c("sketch"), c("next_sketch")).alias("near_next"),
+        containment(c("sketch"), c("next_sketch")).alias("in_next"),
     )
