@@ -4,7 +4,7 @@ import random
 import pytest
 
 from trifold.llm import decontam, neardup, sketch
-from trifold.llm.common import Scratch
+from trifold.storage import Scratch
 
 SF = "/root/testdata/sf0.001"
 

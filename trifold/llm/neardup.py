@@ -45,7 +45,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trifold.llm.common import Scratch, bound_batches, cut, fresh, maybe_broadcast
+from trifold.llm.common import bound_batches, fresh, maybe_broadcast
+from trifold.storage import Scratch, cut
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)

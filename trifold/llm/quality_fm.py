@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trifold.llm.common import bound_batches, cut, maybe_broadcast
+from trifold.llm.common import bound_batches, maybe_broadcast
 from trifold.llm.words import Vocabulary, held_out, labelled_sample, prior_weights, share_of_ones, sigmoid, word_hashes
+from trifold.storage import cut
 
 BINS = 12
 _UPPER, _LOWER, _DIGIT = (np.arange(a, b) for a, b in ((65, 91), (97, 123), (48, 58)))
