@@ -23,10 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def write_shared(df: DataFrame, name: str) -> str:
+def write_shared(df: DataFrame, name: str, **options: str) -> str:
     """Write df as Parquet into the shared folder and return the path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return path
 
 
