@@ -157,7 +157,10 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int, segment_ids: in
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash").asc()]
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     ordered = keyed.repartitionByRange(runs, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
-    return write_shared(ordered.select("doc_id", "text").mapInArrow(run, "run int, segment int, n_ids long, n_docs long, image binary"), "segments")
+    images = ordered.select("doc_id", "text").mapInArrow(run, "run int, segment int, n_ids long, n_docs long, image binary")
+    # packed bits neither compress nor repeat; small row groups keep few images in memory
+    plain = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.size": str(8 << 20)}
+    return write_shared(images, "segments", **plain)
 
 
 def read_segments(spark, path: str) -> DataFrame:
