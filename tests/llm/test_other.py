@@ -1,13 +1,17 @@
 import itertools
+import re
 import textwrap
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_duplicates import brute_components
+from tests.llm.test_pii import PLAIN, brute_disclosing, ok
+from tests.llm.test_tokens import check_packing
 from tests.oracle import compare, connection
 from trifold.llm import hilbert, licences, queries, quality_fm, toxicity
 from trifold.llm.words import Vocabulary, held_out
@@ -163,6 +167,50 @@ def test_licences_of_wrapped_texts(spark):
     assert {r.doc_id: r.licences for r in licences.scan(docs).collect()} == {k: name for k, name, _ in rows}
 
 
+def scanned(text):
+    """The scan of one text, sentence by sentence and rule by rule."""
+    hint = regex.compile(licences.HINT)
+    plain = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).strip()
+    of = lambda x: next((name for name, p in licences.SENTENCES if re.fullmatch(p, plain(x))), "unknown")
+    ids = []
+    if hint.search(text):
+        lines = []
+        for line in regex.sub(licences.VERSION, r"\1 \2", text).split("\n"):
+            if hint.search(line) and re.fullmatch(licences.OWN, plain(line)):
+                line = f"\n{line}\n"
+            elif hint.search(line) and re.fullmatch(licences.BEGINS, plain(line)):
+                line = f"\n{line}"
+            lines.append(line)
+        for sentence in regex.split(licences.ENDS, "\n".join(lines), flags=regex.V1):
+            if not hint.search(sentence):
+                continue
+            found = [of(sentence)]
+            if found == ["unknown"] and "\n" in sentence:
+                found = [i for i in map(of, filter(hint.search, sentence.split("\n"))) if i not in ("unknown", "copyright")] or found
+            ids += found
+    rest, names = [i for i in ids if i != "unknown"], []
+    for name, rule in licences.RULES:
+        k = 0
+        while k + len(rule) <= len(rest):
+            if rest[k : k + len(rule)] == rule:
+                del rest[k : k + len(rule)]
+                names.append(name)
+            else:
+                k += 1
+    return len(ids), ids.count("unknown"), ",".join(ids), ",".join(dict.fromkeys(names)), len(rest)
+
+
+def test_licences_equal_a_plain_scan(spark):
+    texts = [t for t, _ in TEXTS.values()] + [make(GPL.format("x", ";", ";", 2) + t) for t in (MIT, BSD, "") for make in (str, wrapped, lambda t: wrapped(t, "# ", "#\n", 50))]
+    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = 0
+    for row in licences.scan(docs).collect():
+        assert tuple(row)[1:] == scanned(texts[row.doc_id] or ""), texts[row.doc_id][:500]
+        some += row.licences != ""
+    assert some > 20
+
+
 def test_strings_with_a_common_prefix_get_levels_of_their_own(spark):
     rows = [(i, f"https://example.org/{i % 20:02}" if i % 21 else None) for i in range(420)]
     splits = hilbert.string_splits(spark.createDataFrame(rows, "doc_id long, source string"), "source", 16)
@@ -179,23 +227,49 @@ def test_sql(spark, name):
 
 
 def test_pipeline(spark):
+    """Every stage against a brute-force version of its decisions, on what the stage before it kept."""
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES:
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {r.doc_id: r.text for r in docs.collect()}
-        docs = stage(spark, docs, sf)
-        if name != "best_fit_packing":
-            docs = docs.cache()
-            after = {r.doc_id: r.text for r in docs.collect()}
-            assert docs.columns == columns and set(after) <= set(before)
-            if name == "near_duplicates":
-                want = brute_components(list(before.items()), 5)
-                assert set(after) == {k for k, (n, c) in want.items() if k == c}
-    assert {r.doc_id for r in docs.collect()} == set(after)
+        if name == "quality":
+            good = quality_fm.score_quality(docs, spark.read.parquet(f"{sf}/labels.parquet")).filter("score >= 0.3")
+            want = {r.doc_id for r in good.collect()}
+        elif name == "near_duplicates":
+            want = {k for k, (_, c) in brute_components(list(before.items()), 5).items() if k == c}
+        elif name == "decontamination":
+            want = {k for k, t in before.items() if not any(contains(t, item) for item in items)}
+        else:
+            want = set(before)
+        docs = stage(spark, docs, sf).cache()
+        after = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
+        assert docs.columns == columns and set(after) == want and (name == "personal_data" or all(after[k][0] == before[k] for k in after)), name
+    terms = brute_disclosing(before.values(), 0.95, 2)
+    for k, (text, n) in after.items():
+        assert text == sanitised(before[k], terms) and n == len(text)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    bins, least = check_packing(packed, {k: t for k, (t, _) in after.items()})
+    assert {r.doc_id for r in packed} == set(after) and bins <= 1.02 * least + 2
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "best_fit_packing"]
 
 
+def contains(text, item, size=5):
+    words = lambda x: [w for w in regex.split(r"[^\p{L}\p{N}]+", (x or "").lower()) if w]
+    w, own = words(text), words(item)
+    k = min(size, len(own))
+    runs = lambda x: {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+    return k > 0 and 100 * len(runs(own) & runs(w)) >= 80 * len(runs(own))
+
+
+def sanitised(text, terms):
+    for kind, pattern in PLAIN.items():
+        text = re.sub(pattern, lambda m, kind=kind: f"[{kind.upper()}]" if ok(kind, m[0]) else m[0], text)
+    word = lambda m: m[0] if m[0][0] == "[" or m[0].lower() not in terms else "" if terms[m[0].lower()] else "[TERM]"
+    return regex.sub(r"\[(?:EMAIL|IP|CARD|PHONE)\]|\p{L}+", word, text)
+
+
 def test_pipeline_odd(spark, odd, none, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([(i, i % 2, 0) for i in range(13)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")

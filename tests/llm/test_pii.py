@@ -1,8 +1,11 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
+import regex
 
 from trifold.llm import pii
 
@@ -115,3 +118,58 @@ def test_terms_in_documents_without_the_entity(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert pii.detect(docs).count() == 0 and pii.sanitised(docs).columns == docs.columns and pii.sanitised(docs).count() == 0
+
+
+def brute_disclosing(texts, alpha, support):
+    """term -> it occurs with one entity only, by counting over all pairs of distinct sentences."""
+    sentences = {s for t in texts if t is not None for s in re.split(r"\n|(?<=[.!?]) ", t)}
+    words_of = {s: set(regex.split(r"[^\p{L}]+", s.lower())) for s in sentences}
+    n_t = Counter(w for words in words_of.values() for w in words)
+    n_e, n_te = Counter(), Counter()
+    for s in sentences:
+        found = {s[a:b].lower() for a, _, b, _ in brute(s)}
+        if not found:
+            continue
+        plain = s
+        for pattern in PLAIN.values():
+            plain = re.sub(pattern, " ", plain)
+        terms = {w for w in regex.split(r"[^\p{L}]+", plain.lower()) if len(w) >= 3}
+        n_e.update(found)
+        n_te.update((e, t) for e in found for t in terms)
+    out, n = {}, len(sentences)
+    for (e, t), both in n_te.items():
+        if both >= support and math.log2(both * n / (max(n_t[t], both) * n_e[e])) >= alpha * math.log2(max(n / n_e[e], 1 + 1e-9)):
+            out[t] = out.get(t, False) or n_t[t] <= both
+    return out
+
+
+def check_terms(rows, texts, alpha=0.95):
+    terms = brute_disclosing(texts.values(), alpha, 2)
+    for row in rows:
+        text = texts[row.doc_id] or ""
+        base = brute(text)
+        words = [(m.start(), 4, m.end(), "term") for m in regex.finditer(r"\p{L}+", text) if m[0].lower() in terms]
+        spans = sorted(base + [w for w in words if not any(a < w[2] and w[0] < b for a, _, b, _ in base)])
+        assert row.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans), text[:300]
+    return terms
+
+
+@pytest.mark.parametrize("alpha", [0.5, 0.95])
+def test_terms_equal_brute_force(spark, alpha):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    check_terms(pii.detect(docs, alpha=alpha).collect(), texts, alpha)
+
+
+def test_terms_of_made_texts_equal_brute_force(spark, monkeypatch):
+    random.seed(8)
+    people = [(f"Person{chr(97 + i) * 3}", f"u{i}@mail.com") for i in range(12)]
+    texts = {}
+    for k in range(300):
+        name, mail = random.choice(people)
+        said = [f"{random.choice(['Ask', 'Tell', 'Write to'])} {name} at {mail} {random.choice('xyz') * 4} now.", f"The {random.choice(['house', 'river', 'tree'])} of {name} stands {random.choice('pqr') * 5}.", "Words only."]
+        texts[k] = " ".join(random.sample(said, 2)) + "\n" * (k % 2)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for few in (True, False):  # candidate terms broadcast, and too many for that
+        monkeypatch.setattr(pii, "few_strings", lambda *_, few=few: few)
+        assert check_terms(pii.detect(docs, alpha=0.7).collect(), texts, 0.7)

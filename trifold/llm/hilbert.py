@@ -14,8 +14,9 @@ a third of all rows is spread over `salts` keys.
 
 Law: ``rows``; shard counts differ by one at most. Defined results: null text
 has no bytes; null metadata takes the lowest level; rows that repeat a doc_id
-are rows of their own (ties end in the crc of the text); an empty table gives
-no row; further columns are not read.
+are rows of their own (ties end in the crc of the text); the general form takes
+rows without columns hilbert, shard and slot; very long texts count by their size;
+an empty table gives no row; further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trifold.llm.common import quantile_splits, range_bucket
+from trifold.llm.common import fresh, quantile_splits, range_bucket
 from trifold.storage import cut
 
 
@@ -97,26 +98,27 @@ def hilbert_shards(rows: DataFrame, dimensions: list[str], tie: list[str], shard
     def curve(cell: pd.DataFrame) -> pd.Series:
         return pd.Series(hilbert_index(cell.to_numpy(), bits))
 
-    own = [f"__h{i}" for i in range(len(levels))]
+    own = fresh(rows, *[f"h{i}" for i in range(len(levels))])
+    salt, n, whole, base, total, offset, place = fresh(rows, "salt", "n", "whole", "base", "total", "offset", "place")
     placed = rows.withColumns(dict(zip(own, levels, strict=True)))
     placed = placed.withColumn("hilbert", curve(F.struct(*own))).drop(*own)
-    placed = placed.withColumn("__salt", F.pmod(F.xxhash64(*tie), F.lit(salts)).cast("int"))
+    placed = placed.withColumn(salt, F.pmod(F.xxhash64(*tie), F.lit(salts)).cast("int"))
 
-    counts = placed.groupBy("hilbert", "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    counts = placed.groupBy("hilbert", salt).agg(F.count(F.lit(1)).alias(n))
     earlier = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.groupBy("hilbert").agg(F.sum("__n").alias("__all"))
-    total = F.sum("__all").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    cells = cells.select("hilbert", F.coalesce(F.sum("__all").over(earlier), F.lit(0)).alias("__base"), total.alias("__total"))
-    inside = Window.partitionBy("hilbert").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.join(cells, "hilbert").select("hilbert", "__salt", "__total", (F.col("__base") + F.coalesce(F.sum("__n").over(inside), F.lit(0))).alias("__offset"))
-
-    place = F.row_number().over(Window.partitionBy("hilbert", "__salt").orderBy(*tie)) - 1
-    ranked = placed.withColumn("__place", place).join(offsets, ["hilbert", "__salt"])
-    rank = F.col("__offset") + F.col("__place")
+    cells = counts.groupBy("hilbert").agg(F.sum(n).alias(whole))
+    all_rows = F.sum(whole).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    cells = cells.select("hilbert", F.coalesce(F.sum(whole).over(earlier), F.lit(0)).alias(base), all_rows.alias(total))
+    inside = Window.partitionBy("hilbert").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.join(cells, "hilbert").select("hilbert", salt, total, (F.col(base) + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(offset))
+
+    in_group = F.row_number().over(Window.partitionBy("hilbert", salt).orderBy(*tie)) - 1
+    ranked = placed.withColumn(place, in_group).join(offsets, ["hilbert", salt])
+    rank = F.col(offset) + F.col(place)
     # shard s begins at rank ceil(s * total / shards)
-    ranked = ranked.withColumn("shard", F.expr(f"cast(((__offset + __place) * {shards}) div __total as int)"))
-    first = F.expr(f"(shard * __total + {shards} - 1) div {shards}")
-    return ranked.withColumn("slot", rank - first).drop("__salt", "__offset", "__place", "__total")
+    ranked = ranked.withColumn("shard", F.expr(f"cast(((`{offset}` + `{place}`) * {shards}) div `{total}` as int)"))
+    first = F.expr(f"(shard * `{total}` + {shards} - 1) div {shards}")
+    return ranked.withColumn("slot", rank - first).drop(salt, offset, place, total)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:

@@ -14,9 +14,10 @@ a rule that matches takes its identifiers out of the sequence, so that no
 sentence counts for two licences.
 
 Only DataFrame functions are used. Defined results: null and empty texts have no
-sentence; a licensing sentence without a pattern counts as unknown; rows that
-share a doc_id are scanned one by one; an empty table gives no row; further
-columns are not read.
+sentence; a licensing sentence without a pattern counts as unknown; of patterns
+and rules that match alike the first in the list counts; very long texts are
+scanned whole; rows that share a doc_id are scanned one by one; an empty table
+gives no row; further columns are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ bounded and the loss is at most the last unfilled bins of each group.
 
 Defined results: null text is the empty text, which is one piece of the end id
 alone; rows that share a doc_id are packed separately; a null doc_id is packed
-as any other; an empty table gives no row; further columns are not read.
+as any other; a very long text gives many pieces; an empty table gives no row; further columns are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ Defined results: null and empty texts have the structure features of an empty
 text and are scored as any other; a null character count has a bin of its own;
 rows that share a doc_id are scored one by one; a label that is null or not 0
 or 1 is not used; without training rows of both labels every score is the share
-of label 1; an empty table gives no row; further columns are not read.
+of label 1; very long texts are read whole; an empty table gives no row; further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trifold.llm.common import bound_batches, maybe_broadcast
+from trifold.llm.common import bound_batches, fresh, maybe_broadcast
 from trifold.llm.words import Vocabulary, held_out, labelled_sample, prior_weights, share_of_ones, sigmoid, word_hashes
 from trifold.storage import cut
 
@@ -162,5 +162,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs predicted to be good, with their columns; rows that share a doc_id go if any is rejected."""
-    bad = cut(score_quality(docs, labels, **options).filter("predicted = 0").select(F.col("doc_id").alias("__bad")).distinct(), "rejected")
-    return docs.join(maybe_broadcast(bad, bad.count()), docs["doc_id"] == bad["__bad"], "left_anti")
+    (of,) = fresh(docs, "__bad")
+    bad = cut(score_quality(docs, labels, **options).filter("predicted = 0").select(F.col("doc_id").alias(of)).distinct(), "rejected")
+    return docs.join(maybe_broadcast(bad, bad.count()), docs["doc_id"] == bad[of], "left_anti")

@@ -51,9 +51,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, out: Column,
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~out)
     each = [usable.filter(F.col("label") == v).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for v in (0, 1)]
-    ids = each[0].union(each[1]).withColumnRenamed("doc_id", "__labelled")
-    joined = docs.select("doc_id", "text", *keep).join(F.broadcast(ids), F.col("doc_id") == F.col("__labelled")).select("doc_id", "text", "label", *keep)
-    return joined.orderBy("doc_id").toArrow()
+    ids = each[0].union(each[1]).withColumnRenamed("doc_id", "labelled")
+    joined = docs.select("doc_id", "text", *keep).join(F.broadcast(ids), F.col("doc_id") == F.col("labelled"))
+    # an id that repeats gives one row, so that the driver holds 2 * limit texts at most
+    first = joined.groupBy("doc_id").agg(F.min(F.struct("text", "label", *keep)).alias("row"))
+    return first.select("doc_id", "row.*").orderBy("doc_id").toArrow()
 
 
 def prior_weights(labels: np.ndarray, share: float) -> np.ndarray:
