@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from trifold.functions import merge3
 from trifold.functions.file_merge import merge_files
 from trifold.functions.markers import parse
-from trifold.functions.parsers import extract_entities, extract_regions, outermost
+from trifold.functions.parsers import extract_entities, extract_regions, member_name, outermost
 
 TEXTS = st.lists(st.sampled_from(["a", "b", "c", "", "  d"]), max_size=9).map(lambda x: "".join(y + "\n" for y in x))
 
@@ -143,3 +143,37 @@ def test_long_texts_keep_their_hunks():
     want = [o if o != x else t for x, o, t in zip(base, ours, theirs, strict=True)]
     found = merge3.merge("".join(base), "".join(ours), "".join(theirs))
     assert found.conflicts == 0 and found.text == "".join(want)
+
+
+FIELDS = "export interface Options {\n  host: string;\n  port: number;\n}\n"
+VARIANTS = "#[derive(Debug)]\npub enum Shape {\n    /// A circle.\n    Circle(f64),\n    Square { side: f64 },\n}\n"
+
+
+@pytest.mark.parametrize("path,base,mine,other,want", [
+    ("a.ts", FIELDS, ("  port: number;\n", "  port: number;\n  path: string;\n"), ("  host: string;\n", "  host: string;\n  user?: string;\n"), ["path: string", "user?: string", "port: number"]),
+    ("a.ts", FIELDS, ("  port: number;\n", "  port: number;\n  path: string;\n"), ("  port: number;\n", "  port: number;\n  user?: string;\n"), ["path: string", "user?: string", "port: number"]),
+    ("a.rs", VARIANTS, ("    Square {", "    /// Three sides.\n    Triangle(f64),\n    Square {"), ("    Square {", "    Line,\n    Square {"), ["Triangle(f64)", "Line,", "Three sides"]),
+    ("a.py", "class Limits:\n    low = 1\n    high = 9\n", ("    high = 9\n", "    high = 9\n    step = 2\n"), ("    high = 9\n", "    high = 9\n    unit = 'm'\n"), ["step = 2", "unit = 'm'", "high = 9"]),
+])
+def test_members_that_are_no_entities(path, base, mine, other, want):
+    found = merge_files(base, base.replace(*mine), base.replace(*other), path)
+    assert not found.conflicts and all(found.content.count(x) == 1 for x in want), found.content
+
+
+@pytest.mark.parametrize("line,name", [("public int add(int a) {", "add"), ("pub(crate) fn run(&self)", "run"), ("readonly size: number;", "size"), ("Circle(f64),", "Circle"), ("async get(x) {", "get"), ("???", "???")])
+def test_member_names(line, name):
+    assert member_name(line) == name
+
+
+def test_prototypes_are_no_structs():
+    text = "struct item *find_item(struct list *l, int n);\n\nstruct item {\n\tint n;\n};\n"
+    assert [(e.entity_type, e.name, e.start_line) for e in extract_entities(text, "a.h")] == [("struct", "item", 3)]
+
+
+def test_conflicts_line_by_line():
+    base = ["int low(struct a *x);\n", "int gone(void);\n", "int high(struct a *x);\n"]
+    assert merge3.refined(base, ["int low(struct a *x, int n);\n", "int high(struct a *x);\n"], [base[0], "int gone(void);\n", "int high(struct a *x, char c);\n"]) == ["int low(struct a *x, int n);\n", "int high(struct a *x, char c);\n"]
+    assert merge3.refined(["a b c\n"], ["a b d\n"], ["a b e\n"]) is None and merge3.refined([], ["x\n"], ["y\n"]) is None
+    assert merge3.refined([], ["x\n", "y\n"], ["x\n"]) == ["x\n", "y\n"] and merge3.refined(["k\n"], [], ["k\n"]) == []
+    three = ["".join(x) for x in (base, ["int low(struct a *x, int n);\n", *base[1:]], [base[0], "int kept(void);\n", base[2]])]
+    assert merge3.merge(*three).conflicts == 1 and merge3.merge(*three, fine=True).conflicts == 0

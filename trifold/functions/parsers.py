@@ -139,6 +139,8 @@ def _brace(text: str, lines: list[str]) -> list[tuple]:
             line = clean[n]
             head = _BRACE_HEAD.match(line)
             name = kind = None
+            if head and head["kind"] in ("struct", "union", "enum") and "(" in line.split("{")[0]:
+                head = None  # the result type of a function
             if head:
                 rest = re.match(r"[\w$]+(?:\s+for\s+[\w<>$]+)?", head["rest"].strip())
                 name, kind = (rest[0] if rest else ""), _KINDS.get(head["kind"], head["kind"])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trifold.functions import merge3
+from trifold.storage import bound_batches
 
 CONFLICT = "struct<entity_name:string,entity_type:string,kind:string,base:string,ours:string,theirs:string,detail:string>"
 STATS = "struct<unchanged:int,ours_only:int,theirs_only:int,both_changed_merged:int,conflicted:int,added_ours:int,added_theirs:int,deleted:int,via_lines:int,via_inner:int,used_fallback:boolean>"
@@ -20,8 +21,9 @@ _S = pa.struct([(x, pa.int32()) for x in ("unchanged", "ours_only", "theirs_only
 _MERGED = [("content", pa.string()), ("is_clean", pa.bool_()), ("confidence", pa.string()), ("conflicts", pa.list_(_C)), ("warnings", pa.list_(pa.string())), ("stats", _S)]
 
 
-def merge_table(files: DataFrame, keys: list[str], seconds: float = 5.0) -> DataFrame:
+def merge_table(files: DataFrame, keys: list[str]) -> DataFrame:
     """keys and the merge of each row. Trivial rows (a side equals another) never reach Python."""
+    bound_batches(files.sparkSession)
     text = files.select(*keys, *[F.coalesce(c, F.lit("")).alias(c) for c in ("file_path", "base", "ours", "theirs")])
     trivial = (F.col("ours") == F.col("theirs")) | (F.col("base") == F.col("ours")) | (F.col("base") == F.col("theirs"))
     kept = F.when((F.col("ours") == F.col("theirs")) | (F.col("base") == F.col("theirs")), F.col("ours")).otherwise(F.col("theirs"))
@@ -37,7 +39,7 @@ def merge_table(files: DataFrame, keys: list[str], seconds: float = 5.0) -> Data
         from trifold.functions.file_merge import merge_files
 
         for b in batches:
-            rows = [merge_files(base, ours, theirs, path, seconds).row() for base, ours, theirs, path in zip(*(b[c].to_pylist() for c in ("base", "ours", "theirs", "file_path")), strict=True)]
+            rows = [merge_files(base, ours, theirs, path).row() for base, ours, theirs, path in zip(*(b[c].to_pylist() for c in ("base", "ours", "theirs", "file_path")), strict=True)]
             made = [pa.array([r[name] for r in rows], kind) for name, kind in _MERGED]
             yield pa.RecordBatch.from_arrays([b[k] for k in keys] + made, keys + [n for n, _ in _MERGED])
 
@@ -46,6 +48,7 @@ def merge_table(files: DataFrame, keys: list[str], seconds: float = 5.0) -> Data
 
 def line_merge_table(files: DataFrame, keys: list[str]) -> DataFrame:
     """keys, merged and n_conflicts of the plain line merge."""
+    bound_batches(files.sparkSession)
     kinds = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,6 +62,7 @@ def line_merge_table(files: DataFrame, keys: list[str]) -> DataFrame:
 
 def entity_table(files: DataFrame, path: str = "file_path", content: str = "content") -> DataFrame:
     """One row per entity of each file, in file order."""
+    bound_batches(files.sparkSession)
     names = [x.split(" ")[0] for x in ENTITY.split(", ")]
     numbers = {"ord", "start_line", "end_line"}
 

@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""Intermediate tables in the folder that the driver and all executors share, and the size of batches that reach Python."""
 
 from __future__ import annotations
 
@@ -63,3 +63,8 @@ class Scratch:
     def __exit__(self, *_) -> None:
         for path in self.paths:
             drop_shared(self.spark, path)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches by bytes as well as by rows, so that very long texts can't fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
