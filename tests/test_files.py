@@ -52,7 +52,7 @@ PY = "import os\n\n\n@cache\ndef f(x):\n    return 1\n\n\nclass A:\n    def m(se
 TS = "import a from 'a';\n\n/** Doc. */\nexport function f(x) {\n  return \"}\";\n}\n\nclass A {\n  m() {\n    return 1;\n  }\n}\n"
 
 
-@pytest.mark.parametrize("path,text,names", [("a.py", PY, ["f", "A", "m", "n"]), ("a.ts", TS, ["f", "A", "m"]), ("a.json", '{\n  "a": 1,\n  "b": {\n    "c": 2\n  }\n}\n', ["a", "b"]), ("a.md", "# One\nx\n## Two\ny\n", ["One", "Two"]), ("a.yaml", "a: 1\nb:\n  c: 2\n", ["a", "b"]), ("a.rs", "fn f() {\n  1\n}\n\nimpl A {\n  fn g() {}\n}\n", ["f", "A", "g"])])
+@pytest.mark.parametrize("path,text,names", [("a.py", PY, ["f", "A", "m", "n"]), ("a.ts", TS, ["f", "A", "m"]), ("a.json", '{\n  "a": 1,\n  "b": {\n    "c": 2\n  }\n}\n', ["a", "b"]), ("a.md", "# One\nx\n## Two\ny\n", ["One", "Two"]), ("a.yaml", "a: 1\nb:\n  c: 2\n", ["a", "b"]), ("a.rb", "module M\n  class A\n    def f(x)\n      if x\n        1\n      end\n    end\n  end\nend\n", ["M", "A", "f"]), ("a.rs", "fn f() {\n  1\n}\n\nimpl A {\n  fn g() {}\n}\n", ["f", "A", "g"])])
 def test_entities_and_regions(path, text, names):
     found = extract_entities(text, path)
     assert [e.name for e in found] == names
@@ -177,3 +177,10 @@ def test_conflicts_line_by_line():
     assert merge3.refined([], ["x\n", "y\n"], ["x\n"]) == ["x\n", "y\n"] and merge3.refined(["k\n"], [], ["k\n"]) == []
     three = ["".join(x) for x in (base, ["int low(struct a *x, int n);\n", *base[1:]], [base[0], "int kept(void);\n", base[2]])]
     assert merge3.merge(*three).conflicts == 1 and merge3.merge(*three, fine=True).conflicts == 0
+
+
+def test_comments_are_those_of_the_language():
+    one, two = (extract_entities(f"#include <a.h>\nint f(int a) {{\n#{x}\n  return a; // {y}\n}}\n", "a.c")[0] for x, y in (("if A", "x"), ("if B", "x")))
+    assert one.structural_hash != two.structural_hash
+    one, two = (extract_entities(f"def f(a):\n    return a  # {x}\n", "a.py")[0] for x in "xy")
+    assert one.structural_hash == two.structural_hash != one.content_hash

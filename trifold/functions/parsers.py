@@ -20,7 +20,10 @@ LANGUAGES = {
     "markdown": [".md", ".markdown"],
     "keys": [".yaml", ".yml"],
     "toml": [".toml"],
+    "ruby": [".rb"],
 }
+_HASH = r"#[^\n]*"
+_COMMENTS = {"python": _HASH, "keys": _HASH, "toml": _HASH, "ruby": _HASH, "brace": r"//[^\n]*|/\*.*?\*/"}
 _BY_ENDING = {e: lang for lang, endings in LANGUAGES.items() for e in endings}
 _BRACE_HEAD = re.compile(
     r"^\s*(?:(?:export|default|pub(?:\([^)]*\))?|public|private|protected|internal|static|async|abstract|final|declare|unsafe|extern|inline|virtual|override|const(?=\s+fn))\s+)*"
@@ -48,8 +51,8 @@ class Entity:
 
     @property
     def structural_hash(self) -> str:
-        """A hash of the words and signs, without comments, white space and the entity's own name."""
-        bare = re.sub(r"//[^\n]*|#[^\n]*|/\*.*?\*/", " ", self.content, flags=re.S)
+        """A hash of the words and signs, without the language's comments, white space and the entity's own name."""
+        bare = re.sub(_COMMENTS.get(language(self.entity_id.split("::")[0]), "(?!)"), " ", self.content, flags=re.S)
         bare = re.sub(rf"(?<![A-Za-z0-9_]){re.escape(self.name)}(?![A-Za-z0-9_])", "\x00", bare)
         return hashlib.md5(" ".join(re.findall(r"\w+|[^\w\s]|\x00", bare)).encode()).hexdigest()
 
@@ -115,6 +118,21 @@ def _python(lines: list[str]) -> list[tuple]:
     return found
 
 
+def _ruby(lines: list[str]) -> list[tuple]:
+    """def, class and module up to the `end` of their indentation."""
+    found, open_at = [], []
+    for n, line in enumerate(lines):
+        depth = len(line) - len(line.lstrip())
+        if m := re.match(r"(def|class|module)\s+(?:self\.)?([\w:]+[?!=]?)", line.strip()):
+            parent = open_at[-1][3] if open_at else None
+            kind = ("method" if parent else "function") if m[1] == "def" else m[1]
+            open_at.append((n, depth, kind, m[2], parent))
+        elif line.strip() == "end" and open_at and open_at[-1][1] == depth:
+            start, _, kind, name, parent = open_at.pop()
+            found.append((start, n, kind, name, parent))
+    return found
+
+
 def _brace(text: str, lines: list[str]) -> list[tuple]:
     clean = masked(text).split("\n")
     found = []
@@ -205,6 +223,8 @@ def extract_entities(text: str, path: str) -> list[Entity]:
         found = _python(lines)
     elif lang == "brace":
         found = _brace(text, lines)
+    elif lang == "ruby":
+        found = _ruby(lines)
     elif lang == "json":
         found = _json(text, lines)
     elif lang == "markdown":

@@ -344,10 +344,10 @@ def bench_matrix(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("resolution_rate", F.round(F.coalesce(F.try_divide(F.col("wins"), F.col("wins") + F.col("both_conflict")), F.lit(0.0)), 6))
 
 
-# ---- whole files (not expressible in SQL)
+# ---- whole files
 
 def source_files(spark: SparkSession, d: str) -> DataFrame:
-    """A Python-like file for each order group, with edits on both sides."""
+    """A Python-like file for each part, with edits on both sides."""
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     f = lambda name, body: F.concat(F.lit("def "), F.lit(name), F.lit("(x):\n    y = x\n    return "), body, F.lit("\n\n\n"))
     head = F.lit("import os\nimport sys\n\n\n")
@@ -357,13 +357,40 @@ def source_files(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "part").select(k.alias("k"), F.concat(F.lit("src/m"), k.cast("string"), F.lit(".py")).alias("file_path"), base.alias("base"), ours.alias("ours"), theirs.alias("theirs"))
 
 
-@query()
+def _function(name: str, body: str) -> str:
+    return f"'def {name}(x):' || chr(10) || '    y = x' || chr(10) || '    return ' || {body} || repeat(chr(10), 3)"
+
+
+#: What becomes of each file: a, b, d and e merge always; c may be edited by ours (to 7) and edited (to 8), deleted or, where its
+#: body is that of the new function e, renamed by theirs. Where both edit c, entities conflict and the line merge does not.
+MERGES_SQL = f"""edits AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 2 = 1 AND p_size <> 7 AS mine, p_partkey % 3 = 0 AS gone,
+  p_partkey % 3 <> 0 AND p_partkey % 5 = 0 AND p_size <> 8 AS other FROM part),
+kinds AS (SELECT *, gone AND s = 5 AS renamed, mine AND gone AND s <> 5 AS conflict, mine AND other AS by_lines FROM edits),
+merged AS (SELECT *,
+  CASE WHEN by_lines THEN 'import json' || chr(10) || 'import os' || chr(10) || 'import re' || chr(10) || 'import sys'
+       ELSE 'import os' || chr(10) || 'import re' || chr(10) || 'import sys' || chr(10) || 'import json' END || repeat(chr(10), 3)
+  || {_function('a', "'1'")} || CASE WHEN renamed THEN '' ELSE {_function('e', "'5'")} END || {_function('b', "'2'")}
+  || CASE WHEN conflict THEN '<<<<<<< ours — function `c`' || chr(10) || rtrim({_function('c', "'7'")}, chr(10)) || chr(10) || '=======' || chr(10) || '>>>>>>> theirs — function `c`' || chr(10)
+          WHEN renamed THEN {_function('e', "CASE WHEN mine THEN '7' ELSE '5' END")} WHEN gone THEN '' WHEN mine THEN {_function('c', "'7'")} WHEN other THEN {_function('c', "'8'")} ELSE {_function('c', 's')} END
+  || {_function('d', "CASE WHEN by_lines THEN '8' ELSE CAST(s AS VARCHAR) END")} AS content,
+  NOT conflict AS is_clean, CASE WHEN conflict THEN 'conflict' WHEN by_lines THEN 'medium' WHEN renamed AND mine THEN 'high' ELSE 'very_high' END AS confidence,
+  CAST(NOT by_lines AND renamed AND mine AS INTEGER) AS both_changed_merged FROM kinds)"""
+
+
+@query(f"""WITH {MERGES_SQL}, n AS (SELECT *, CAST(NOT by_lines AS INTEGER) AS e, NOT (conflict OR gone OR mine OR other) AS c_same FROM merged)
+SELECT k, content, is_clean, confidence, CAST(conflict AS INTEGER) AS n_conflicts,
+  e * (CAST(s = 1 AS INTEGER) + CAST(s = 2 AS INTEGER) + CAST(c_same AS INTEGER)) AS unchanged,
+  e * (CAST(s <> 1 AS INTEGER) + CAST(mine AND NOT gone AS INTEGER)) AS ours_only,
+  e * (CAST(s <> 2 AS INTEGER) + CAST((other AND NOT mine) OR (renamed AND NOT mine) AS INTEGER)) AS theirs_only,
+  both_changed_merged, e * CAST(conflict AS INTEGER) AS conflicted, e AS added_ours, e * CAST(NOT renamed AS INTEGER) AS added_theirs,
+  e * CAST(gone AND NOT mine AND NOT renamed AS INTEGER) AS deleted, both_changed_merged AS via_lines, 0 AS via_inner, by_lines AS used_fallback FROM n""")
 def merge_files(spark: SparkSession, d: str) -> DataFrame:
     merged = files.merge_table(source_files(spark, d), ["k"])
     return merged.select("k", "content", "is_clean", "confidence", F.size("conflicts").alias("n_conflicts"), "stats.*")
 
 
-@query()
+@query(f"""WITH {MERGES_SQL} SELECT count(*) AS files, count(*) FILTER (is_clean) AS clean, count(*) FILTER (NOT is_clean) AS conflicted, CAST(sum(both_changed_merged) AS BIGINT) AS auto_merged,
+  CASE WHEN bool_or(confidence = 'conflict') THEN 'conflict' WHEN bool_or(confidence = 'medium') THEN 'medium' WHEN bool_or(confidence = 'high') THEN 'high' ELSE 'very_high' END AS confidence FROM merged""")
 def merge_preview(spark: SparkSession, d: str) -> DataFrame:
     return files.preview(files.merge_table(source_files(spark, d), ["k"]))
 
@@ -373,9 +400,26 @@ def line_merge(spark: SparkSession, d: str) -> DataFrame:
     return files.line_merge_table(fx.text_versions(spark, d), ["doc_id"])
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+s AS (SELECT doc_id, len(l) AS n, l[1] AS x, l[-1] AS y, CASE WHEN len(l) > 2 THEN array_to_string(l[2:-2], chr(10)) END AS middle FROM l)
+SELECT doc_id, CAST(n < 3 AS INTEGER) AS n_conflicts, md5(CASE WHEN n > 2 THEN x || ' // o' || chr(10) || middle || chr(10) || y || ' # t'
+  ELSE '<<<<<<< ours' || chr(10) || x || ' // o' || chr(10) || CASE WHEN n = 2 AND y <> '' THEN y || chr(10) ELSE '' END
+    || '=======' || chr(10) || x || CASE WHEN n = 2 THEN chr(10) || y ELSE '' END || ' # t' || chr(10) || '>>>>>>> theirs' || chr(10) END) AS merged_md5 FROM s""")
+def line_merge_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Ours edits the first line, theirs the last: clean where a line stands between them."""
+    docs = fx.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("base"))
+    ours = F.regexp_replace("base", r"\A([^\n]*)", "$1 // o")
+    found = files.line_merge_table(docs.withColumns({"ours": ours, "theirs": F.concat("base", F.lit(" # t"))}), ["doc_id"])
+    return found.select("doc_id", "n_conflicts", F.md5(F.col("merged").cast("binary")).alias("merged_md5"))
+
+
+@query("""WITH f AS (SELECT 'src/m' || p_partkey || '.py' AS file_path, unnest([0, 1, 2, 3]) AS ord, p_size AS s, p_partkey % 2 = 1 AS odd FROM part),
+e AS (SELECT file_path, ord, substr('abcd', ord + 1, 1) AS name, CASE WHEN ord = 0 THEN '1' WHEN ord = 2 AND odd THEN '7' ELSE CAST(s AS VARCHAR) END AS body FROM f),
+t AS (SELECT *, '(x):' || chr(10) || '    y = x' || chr(10) || '    return ' || body AS rest FROM e)
+SELECT file_path, CAST(ord AS INTEGER) AS ord, file_path || '::function::' || name AS entity_id, name, 'function' AS entity_type, CAST(NULL AS VARCHAR) AS parent_id, CAST(6 + 5 * ord AS INTEGER) AS start_line,
+  CAST(8 + 5 * ord AS INTEGER) AS end_line, 'def ' || name || rest AS content, md5('def ' || name || rest) AS content_hash, md5('def __ENTITY__' || rest) AS body_hash FROM t""")
 def parse_entities(spark: SparkSession, d: str) -> DataFrame:
-    return files.entity_table(source_files(spark, d), "file_path", "ours")
+    return files.entity_table(source_files(spark, d), "file_path", "ours").drop("structural_hash")
 
 
 # ---- graphs
