@@ -18,8 +18,8 @@ Only DataFrame functions are used. Words are runs of letters and digits in
 lower case.
 
 Defined results: null or empty texts, and items without words, match nothing; items that repeat a text are
-reported each; rows that repeat a doc_id are verified one by one and reported
-once; an empty table on either side gives no row; further columns are not read.
+reported each; rows that repeat a doc_id, or have a null one, are verified one by
+one and reported once for the id; very long texts are searched whole; an empty table on either side gives no row; further columns are not read.
 """
 
 from __future__ import annotations
@@ -90,14 +90,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent:
         found = probes.join(maybe_broadcast(signatures.select("item_id", "hash"), signatures.count()), "hash").select("doc_id", "item_id").distinct()
         candidates = hold.cut(found, "contained-candidates")
 
-        ids = candidates.select("doc_id").distinct()
-        texts = docs.select("doc_id", "text").join(maybe_broadcast(ids, ids.count()), "doc_id")
+        ids = candidates.select(F.col("doc_id").alias("of")).distinct()
+        texts = docs.select("doc_id", "text").join(maybe_broadcast(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
         runs = let(word_list(F.col("text")), lambda w: F.struct(F.array_distinct(shingle_texts(w, size)).alias("has"), F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("line")))
-        whole = texts.select("doc_id", runs.alias("whole")).select("doc_id", "whole.has", "whole.line")
+        whole = texts.select(F.col("doc_id").alias("of"), runs.alias("whole")).select("of", "whole.has", "whole.line")
         short = F.when(F.size("words") < size, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
         sought = items.select("item_id", F.array_distinct(shingle_texts(F.col("words"), size)).alias("shingles"), short.alias("short"))
         of_item = candidates.join(F.broadcast(sought) if few_strings(items.select(F.array_join("words", " ").alias("line")), "line") else sought, "item_id")
-        pairs = of_item.join(whole, "doc_id")
+        pairs = of_item.join(whole, F.col("doc_id").eqNullSafe(F.col("of")))
         n = F.when(F.col("short").isNull(), F.size("shingles")).otherwise(1)
         shared = F.when(F.col("short").isNull(), F.size(F.array_intersect("shingles", "has"))).otherwise(F.contains("line", "short").cast("int"))
         counted = pairs.select("doc_id", "item_id", n.cast("long").alias("n_shingles"), shared.cast("long").alias("n_shared"))
@@ -110,7 +110,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = 5, perc
     """The rows of docs that contain no benchmark item, with their columns."""
     (of,) = fresh(docs, "__gone")
     gone = cut(contaminated(docs, benchmark, size, percent).select(F.col("doc_id").alias(of)).distinct(), "leaks")
-    return docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"] == gone[of], "left_anti")
+    return docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"].eqNullSafe(gone[of]), "left_anti")
 
 
 ORACLE_SQL = r"""

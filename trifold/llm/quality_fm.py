@@ -161,7 +161,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs predicted to be good, with their columns; rows that share a doc_id go if any is rejected."""
+    """The rows of docs predicted to be good, with their columns; rows that share a doc_id go if any is rejected, rows without one stay."""
     (of,) = fresh(docs, "__bad")
     bad = cut(score_quality(docs, labels, **options).filter("predicted = 0").select(F.col("doc_id").alias(of)).distinct(), "rejected")
     return docs.join(maybe_broadcast(bad, bad.count()), docs["doc_id"] == bad[of], "left_anti")
