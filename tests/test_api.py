@@ -1,8 +1,11 @@
+import json
+import subprocess
+
 import pytest
 
-from trifold import api, driver
+from trifold import api, cli, driver
 from trifold.functions.file_merge import collapse_separators, expand_separators, line_fallback
-from trifold.operators import bench
+from trifold.operators import bench, graph
 
 A = "def low(x):\n    return x\n\n\ndef mid(x):\n    return low(x)\n\n\ndef top(x):\n    return mid(x)\n"
 
@@ -21,6 +24,57 @@ def test_graph(w):
     before = w.files.replace(A, A.replace("return x", "return -x").replace("return low(x)", "return -low(x)"), "content")
     assert [(r.src, r.dst) for r in api.validate_merge(w, before).collect()] == [(mid, low)]
     assert {r.change for r in api.diff(before, w.files).collect()} == {"modified"}
+    moved = w.files.replace(A, A.replace("def low(", "def least(").replace("return low(", "return least("), "content")
+    assert {(r.entity_id.split("::")[-1], r.change, r.was) for r in api.diff(w.files, moved).collect()} == {("least", "renamed", low), ("mid", "modified", None)}
+    totals = api.diff_totals(w.files, moved).first()
+    assert (totals.files_analyzed, totals.total_changes) == (1, 2) and api.impact_totals(w, "a.py", "low").first().total_affected == 2
+
+
+def test_names_in_several_files(spark):
+    files = [("a.py", "def run():\n    return go()\n\n\ndef go():\n    return 1\n"), ("b.py", "def go():\n    return 2\n"), ("c.py", "def use():\n    return go() + run()\n")]
+    found = api.Workspace(spark, spark.createDataFrame(files, "path string, content string"))
+    of = lambda p, n: f"{p}.py::function::{n}"
+    assert {tuple(r) for r in found.edges().collect()} == {(of("a", "run"), of("a", "go")), (of("c", "use"), of("a", "run"))}
+    imports = spark.createDataFrame([("c.py", "b.py")], "file_path string, imported string")
+    linked = {tuple(r) for r in graph.build_edges(found.entities(), imports).collect()}
+    assert linked == {(of("a", "run"), of("a", "go")), (of("c", "use"), of("b", "go")), (of("c", "use"), of("a", "run"))}
+
+
+def test_sync_and_recorded_merges(w, spark):
+    known = spark.createDataFrame([("a.py::function::low", "low", "function", "a.py", "old", "a1", 3)], "entity_id string, name string, entity_type string, file_path string, content_hash string, claimed_by string, version int")
+    after, count = api.sync(known, w)
+    rows = {r.name: r for r in after.collect()}
+    assert count.first().synced == len(rows) == 4 and (rows["low"].claimed_by, rows["low"].version, rows["top"].version) == ("a1", 3, 0) and rows["low"].content_hash != "old"
+    merged = spark.createDataFrame([("n.py", "def new():\n    pass\n"), ("x.py", None)], "file_path string, content string")
+    assert {r.name for r in api.record_merge(after, merged).collect()} == {"low", "mid", "top", "other", "new"}
+
+
+def test_commands(tmp_path, capsys, spark):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e", *a], check=True, capture_output=True)
+    said = lambda *a: (cli.main(["--root", str(tmp_path), *a]), [json.loads(x) for x in capsys.readouterr().out.splitlines()])[1]
+    git("init", "-q", "-b", "main")
+    (tmp_path / "a.py").write_text(A)
+    (tmp_path / "ü b.py").write_text(A)
+    git("add", "-A"), git("commit", "-qm", "1"), git("branch", "other")
+    for name in ("a.py", "ü b.py"):
+        (tmp_path / name).write_text(A.replace("return x", "return 1"))
+    git("commit", "-qam", "2"), git("checkout", "-q", "other")
+    for name in ("a.py", "ü b.py"):
+        (tmp_path / name).write_text(A.replace("return mid(x)", "return mid(2)").replace("return x", "return x" if name == "a.py" else "return 9"))
+    git("commit", "-qam", "3"), git("checkout", "-q", "main")
+    rows = said("preview", "other")
+    assert [(r["file_path"], r["is_clean"]) for r in rows[:2]] == [("a.py", True), ("ü b.py", False)] and (rows[2]["files"], rows[2]["clean"]) == (2, 1)
+    assert [r["outcome"] for r in said("claim", "me", "a.py", "low")] == ["claimed"] and [r["outcome"] for r in said("claim", "you", "a.py", "low")] == ["already_claimed"]
+    assert {r["name"]: r["claimed_by"] for r in said("status", "--file", "a.py")} == {"low": "me", "mid": None, "top": None}
+    assert [r["outcome"] for r in said("release", "me", "a.py", "low")] == ["released"]
+    (tmp_path / "cases.json").write_text(json.dumps({"file_path": "a.py", "base": A, "ours": A.replace("return x", "return 1"), "theirs": A.replace("mid(x)\n", "mid(2)\n")}) + "\n")
+    assert said("bench", str(tmp_path / "cases.json"))[0]["ours_clean"] == 1
+    (tmp_path / "m.py").write_text("<<<<<<< ours — function `f` (T, confidence: high)\n// hint: h\na\n=======\nb\n>>>>>>> theirs\n")
+    assert said("summary", str(tmp_path / "m.py"))[0]["entity"] == "f"
+    git("merge", "-q", "-s", "ours", "-m", "4", "other")
+    assert said("bench-repo")[0]["tested"] == 2
+    cli.main(["--root", str(tmp_path), "setup"]), cli.main(["--root", str(tmp_path), "setup"])
+    assert (tmp_path / ".gitattributes").read_text().count("*.py merge=trifold") == 1
 
 
 def test_claims(w):

@@ -134,9 +134,36 @@ def impact_analysis(w: Workspace, path: str, name: str) -> DataFrame:
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """entity_id, change between two (path, content) tables."""
+    """entity_id, change, was between two (path, content) tables."""
     table = lambda x: files.entity_table(x, "path", "content")
-    return entities.semantic_diff(table(before), table(after), "entity_id", "content_hash")
+    return entities.diff_with_renames(table(before), table(after))
+
+
+def diff_totals(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: files_analyzed (those that differ) and total_changes."""
+    changes = diff(before, after).agg(F.count(F.lit(1)).alias("total_changes"))
+    return git.diff_versions(before, after).agg(F.count(F.lit(1)).alias("files_analyzed")).crossJoin(changes)
+
+
+def impact_totals(w: Workspace, path: str, name: str) -> DataFrame:
+    """One row: total_affected."""
+    return impact_analysis(w, path, name).agg(F.count(F.lit(1)).alias("total_affected"))
+
+
+def summary_totals(w: Workspace, path: str) -> DataFrame:
+    """One row: conflict_count."""
+    return merge_summary(w, path).agg(F.count(F.lit(1)).alias("conflict_count"))
+
+
+def sync(known: DataFrame, w: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The entity state after the files were read (claims and versions stay), and one row with the number of entities read."""
+    read = w.entities()
+    return state.upsert(known, read), read.agg(F.count(F.lit(1)).alias("synced"))
+
+
+def record_merge(known: DataFrame, merged: DataFrame) -> DataFrame:
+    """The entity state after merged files (file_path, content) were written."""
+    return state.upsert(known, files.entity_table(merged.filter("content is not null"), "file_path", "content"))
 
 
 def merge_summary(w: Workspace, path: str) -> DataFrame:

@@ -7,15 +7,29 @@ from pyspark.sql import functions as F
 
 
 def semantic_diff(before: DataFrame, after: DataFrame, key: str, content_hash: str) -> DataFrame:
-    """key, change: added, modified or deleted; unchanged entities give no row."""
-    tagged = before.select(key, F.col(content_hash).alias("b"), F.lit(None).cast("string").alias("a"), F.lit(1).alias("side")).unionByName(
-        after.select(key, F.lit(None).cast("string").alias("b"), F.col(content_hash).alias("a"), F.lit(2).alias("side"))
-    )
-    one = tagged.groupBy(key).agg(F.max("b").alias("b"), F.max("a").alias("a"), F.min("side").alias("lo"), F.max("side").alias("hi"))
+    """key, change: added, modified or deleted; unchanged entities give no row.
+
+    Contents are compared by a 64-bit hash, a null content as one that differs from all others.
+    """
+    h = F.when(F.col(content_hash).isNotNull(), F.xxhash64(content_hash))
+    side = lambda x, n: x.select(key, *[(h if k == n else F.lit(None).cast("long")).alias(f"h{k}") for k in (1, 2)], F.lit(n).alias("side"))
+    one = side(before, 1).unionByName(side(after, 2)).groupBy(key).agg(F.max("h1").alias("b"), F.max("h2").alias("a"), F.min("side").alias("lo"), F.max("side").alias("hi"))
     change = F.when(F.col("lo") == 2, "added").when(F.col("hi") == 1, "deleted").when(~F.col("b").eqNullSafe(F.col("a")), "modified")
     return one.select(key, change.alias("change")).filter("change is not null")
 
 
+def diff_with_renames(before: DataFrame, after: DataFrame) -> DataFrame:
+    """entity_id, change, was: as semantic_diff, but an entity that took a gone one's body is `renamed`, and `was` names that.
+
+    Both tables have entity_id, ord, content_hash, body_hash and structural_hash.
+    """
+    changed = semantic_diff(before, after, "entity_id", "content_hash")
+    moved = renames(before, after)
+    told = changed.join(moved.select(F.col("branch_id").alias("entity_id"), F.col("base_id").alias("was")), "entity_id", "left")
+    told = told.join(moved.select(F.col("base_id").alias("entity_id")), "entity_id", "left_anti")
+    return told.select("entity_id", F.when(F.col("was").isNotNull(), "renamed").otherwise(F.col("change")).alias("change"), "was")
+
+
 def renames(base: DataFrame, branch: DataFrame) -> DataFrame:
     """(branch_id, base_id) from tables of entity_id, ord, body_hash, structural_hash.
 

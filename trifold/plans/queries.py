@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trifold.functions import text
 from trifold.functions.markers import ParseConflicts
-from trifold.operators import align, entities, files, graph, state
+from trifold.operators import align, bench, entities, files, graph, state
 from trifold.plans import fixtures as fx
 
 QUERIES = {}
@@ -96,7 +96,7 @@ FROM (SELECT k AS bk, * FROM base) b FULL JOIN (SELECT k AS ok, * FROM ours) o U
 WHERE b.bk IS NULL OR o.ok IS NULL OR b.status <> o.status OR b.priority <> o.priority""".replace("b.k IS", "b.bk IS").replace("o.k IS", "o.ok IS"))
 def semantic_diff(spark: SparkSession, d: str) -> DataFrame:
     base, ours, _ = fx.order_versions(spark, d)
-    keyed = lambda x: x.select("k", F.md5(F.concat_ws("|", *VALUES).cast("binary")).alias("h"))
+    keyed = lambda x: x.select("k", F.concat_ws("|", *VALUES).alias("h"))
     return entities.semantic_diff(keyed(base), keyed(ours), "k", "h")
 
 
@@ -104,7 +104,7 @@ def semantic_diff(spark: SparkSession, d: str) -> DataFrame:
 SELECT DISTINCT o.k % 50 AS file, o.k FROM ours o LEFT JOIN base b ON o.k = b.k WHERE b.k IS NULL OR b.status <> o.status OR b.priority <> o.priority""")
 def modified_by_name(spark: SparkSession, d: str) -> DataFrame:
     base, ours, _ = fx.order_versions(spark, d)
-    keyed = lambda x: x.select((F.col("k") % 50).alias("file"), "k", F.md5(F.concat_ws("|", *VALUES).cast("binary")).alias("h"))
+    keyed = lambda x: x.select((F.col("k") % 50).alias("file"), "k", F.xxhash64(*VALUES).alias("h"))
     return entities.modified_by_name(keyed(base), keyed(ours), ["file", "k"], "h")
 
 
@@ -132,6 +132,14 @@ def rename_rename(spark: SparkSession, d: str) -> DataFrame:
     return entities.rename_conflicts(entities.renames(base, ours), entities.renames(base, theirs))
 
 
+@query(f"""WITH {fx.NAMES_SQL}, {fx.renames_sql('ours')},
+changes AS (SELECT entity_id, CASE WHEN b.k IS NULL THEN 'added' ELSE 'deleted' END AS change FROM (SELECT entity_id, ord AS k FROM base) b FULL JOIN (SELECT entity_id, ord AS m FROM ours) o USING (entity_id) WHERE b.k IS NULL OR o.m IS NULL)
+SELECT entity_id, CASE WHEN base_id IS NULL THEN change ELSE 'renamed' END AS change, base_id AS was FROM changes LEFT JOIN ours_renames ON branch_id = entity_id WHERE entity_id NOT IN (SELECT base_id FROM ours_renames)""")
+def diff_with_renames(spark: SparkSession, d: str) -> DataFrame:
+    base, ours, _ = (x.withColumn("content_hash", F.col("body_hash")) for x in fx.name_tables(spark, d))
+    return entities.diff_with_renames(base, ours)
+
+
 @query(f"WITH {fx.NAMES_SQL} SELECT entity_id, body AS body_hash FROM ours")
 def word_boundary_normalize(spark: SparkSession, d: str) -> DataFrame:
     _, ours, _ = fx.name_tables(spark, d)
@@ -331,17 +339,34 @@ def path_guards(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {fx.ORDER_VERSIONS_SQL}, c AS (SELECT k, resolution NOT LIKE 'conflict%' AS ours_clean, os IS NOT DISTINCT FROM ts OR os IS NOT DISTINCT FROM bs OR ts IS NOT DISTINCT FROM bs AS line_clean, k % 3 = 0 AS human FROM classed)
 SELECT count(*) AS tested, count(*) FILTER (ours_clean AND line_clean) AS both_clean, count(*) FILTER (ours_clean AND NOT line_clean) AS wins, count(*) FILTER (NOT ours_clean AND NOT line_clean) AS both_conflict,
   count(*) FILTER (NOT ours_clean AND line_clean) AS regressions, count(*) FILTER (ours_clean AND NOT line_clean AND human) AS matches_human,
-  round(coalesce(count(*) FILTER (ours_clean AND NOT line_clean) / nullif(count(*) FILTER (NOT line_clean), 0), 0), 6) AS resolution_rate FROM c""")
+  round(coalesce(count(*) FILTER (ours_clean AND NOT line_clean) / nullif(count(*) FILTER (NOT line_clean), 0), 0), 6) AS resolution_rate,
+  round(coalesce(count(*) FILTER (ours_clean AND NOT line_clean AND human) / nullif(count(*) FILTER (ours_clean AND NOT line_clean), 0), 0), 6) AS human_match_rate FROM c""")
 def bench_matrix(spark: SparkSession, d: str) -> DataFrame:
     a = aligned_orders(spark, d).withColumn("ours_clean", ~F.startswith(align.resolution(VALUES), F.lit("conflict")))
     o, t, b = F.col("ours_status"), F.col("theirs_status"), F.col("base_status")
-    c = a.select("ours_clean", (o.eqNullSafe(t) | o.eqNullSafe(b) | t.eqNullSafe(b)).alias("line_clean"), (F.col("k") % 3 == 0).alias("human"))
-    mine, line = F.col("ours_clean"), F.col("line_clean")
-    counts = c.agg(
-        F.count(F.lit(1)).alias("tested"), F.count_if(mine & line).alias("both_clean"), F.count_if(mine & ~line).alias("wins"), F.count_if(~mine & ~line).alias("both_conflict"),
-        F.count_if(~mine & line).alias("regressions"), F.count_if(mine & ~line & F.col("human")).alias("matches_human"),
-    )
-    return counts.withColumn("resolution_rate", F.round(F.coalesce(F.try_divide(F.col("wins"), F.col("wins") + F.col("both_conflict")), F.lit(0.0)), 6))
+    cases = a.select("ours_clean", (o.eqNullSafe(t) | o.eqNullSafe(b) | t.eqNullSafe(b)).alias("line_clean"), (F.col("k") % 3 == 0).alias("matches_human"))
+    return bench.matrix(cases).withColumns({c: F.round(c, 6) for c in ("resolution_rate", "human_match_rate")})
+
+
+@query("""WITH v AS (SELECT p_partkey AS k, p_name AS n, p_partkey % 4 AS m FROM part)
+SELECT k, CASE m WHEN 0 THEN 'both modified' WHEN 1 THEN CASE WHEN k % 8 = 1 THEN 'modified in ours, deleted in theirs' ELSE 'deleted in ours, modified in theirs' END
+    WHEN 2 THEN 'both added' ELSE 'both renamed: ' || chr(39) || n || chr(39) || ' → ours ' || chr(39) || n || '1' || chr(39) || ', theirs ' || chr(39) || n || '2' || chr(39) END AS kind,
+  CASE WHEN m = 0 THEN 'warning: merged output for `' || n || '` failed to parse — result may be syntactically broken'
+    ELSE 'warning: function `' || n || '` was modified and ' || CASE WHEN m = 1 THEN 'references' ELSE 'is used by' END || ' class `C` which was also modified' END AS warning,
+  substr(md5(n), 1, 8) AS short, rtrim(n) || chr(10) || 'x' AS stripped, m = 1 AS container FROM v""")
+def display_texts(spark: SparkSession, d: str) -> DataFrame:
+    k, n, m = F.col("p_partkey"), F.col("p_name"), F.col("p_partkey") % 4
+    kind = F.when(m == 0, "both_modified").when(m == 1, "modify_delete").when(m == 2, "both_added").otherwise("rename_rename")
+    warned = F.when(m == 0, "parse_failed_after_merge").when(m == 1, "dependency_also_modified").otherwise("dependent_also_modified")
+    entity = F.when(m == 1, F.lit("impl_item")).otherwise(F.lit("function"))
+    return fx.table(spark, d, "part").select(
+        k.alias("k"),
+        text.conflict_kind_text(kind, k % 8 == 1, n, F.concat(n, F.lit("1")), F.concat(n, F.lit("2"))).alias("kind"),
+        graph.warning_text(warned, F.lit("function"), n, F.lit("class"), F.lit("C")).alias("warning"),
+        text.short_hash(F.md5(n.cast("binary"))).alias("short"),
+        text.right_stripped(F.concat(n, F.lit("  \t\nx \n\n"))).alias("stripped"),
+        text.is_container_type(entity).alias("container"),
+    )
 
 
 # ---- whole files

@@ -1,14 +1,17 @@
 """Git history and working trees as DataFrames.
 
 `GitBlobs` is a Python data source: spark.read.format("gitblobs").options(repo=..., rev=...).load()
-gives (path, content) of a revision, one partition for each slice of the paths.
+gives (path, content) of a revision, and with revs="a,b,c" and names="x,y,z" (path, x, y, z) of
+several. `paths` (one a line) limits it to those files, which is pushed to git: nothing else is
+read. A partition is a slice of the paths and runs one `git cat-file --batch`, so the repository
+must lie at the same place on every executor.
 """
 
 from __future__ import annotations
 
 import os
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +45,25 @@ def merge_base(repo: str, a: str, b: str) -> str:
     return _git(repo, "merge-base", a, b).strip()
 
 
+def blobs(repo: str, wanted: Iterable[str]) -> Iterator[str]:
+    """The contents of rev:path names, in order, by one git process; the empty text where there is no such file."""
+    run = subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+    try:
+        for name in wanted:
+            run.stdin.write(name.encode() + b"\n")
+            run.stdin.flush()
+            head = run.stdout.readline().split()
+            if len(head) != 3 or not head[2].isdigit():  # missing, or a name that is no object
+                yield ""
+                continue
+            content = run.stdout.read(int(head[2]) + 1)[:-1]
+            yield content.decode("utf-8", "replace") if head[1] == b"blob" else ""
+    finally:
+        run.stdin.close()
+        run.stdout.close()
+        run.wait()
+
+
 class _Slice(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -49,16 +71,23 @@ class _Slice(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.repo, self.rev = options["repo"], options.get("rev", "HEAD")
+        self.repo = options["repo"]
+        self.revs = options.get("revs", options.get("rev", "HEAD")).split(",")
+        self.paths = options["paths"].split("\n") if "paths" in options else None
         self.slices = int(options.get("slices", 8))
 
     def partitions(self) -> list[_Slice]:
-        paths = _git(self.repo, "ls-tree", "-r", "--name-only", self.rev).splitlines()
+        paths = self.paths
+        if paths is None:
+            trees = [_git(self.repo, "ls-tree", "-r", "-z", "--name-only", rev).split("\0") for rev in self.revs]
+            paths = sorted({x for tree in trees for x in tree})
+        paths = [x for x in paths if x]
         return [_Slice(paths[i :: self.slices]) for i in range(min(self.slices, max(1, len(paths))))]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
+        found = blobs(self.repo, (f"{rev}:{path}" for path in partition.paths for rev in self.revs))
         for path in partition.paths:
-            yield path, show(self.repo, self.rev, path)
+            yield (path, *(next(found) for _ in self.revs))
 
 
 class GitBlobs(DataSource):
@@ -67,7 +96,7 @@ class GitBlobs(DataSource):
         return "gitblobs"
 
     def schema(self) -> str:
-        return "path string, content string"
+        return ", ".join(f"{x} string" for x in ["path", *self.options.get("names", "content").split(",")])
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
@@ -87,10 +116,28 @@ def merge_commits(history: DataFrame, limit: int = 500) -> DataFrame:
     return history.filter(F.size("parents") == 2).limit(limit)
 
 
+def changed_paths(repo: str, a: str, b: str, modified_only: bool = False) -> list[str]:
+    return [x for x in _git(repo, "diff", "--name-only", "-z", *(["--diff-filter=M"] if modified_only else []), f"{a}..{b}").split("\0") if x]
+
+
 def changed_files(spark: SparkSession, repo: str, a: str, b: str, modified_only: bool = False) -> DataFrame:
     """(file) changed between two revisions."""
-    found = _git(repo, "diff", "--name-only", *(["--diff-filter=M"] if modified_only else []), f"{a}..{b}").splitlines()
-    return spark.createDataFrame([(x,) for x in sorted(found)], "file string")
+    return spark.createDataFrame([(x,) for x in sorted(changed_paths(repo, a, b, modified_only))], "file string")
+
+
+def replayed(spark: SparkSession, repo: str, limit: int = 500) -> DataFrame:
+    """(commit, file_path, base, ours, theirs, human) of the files that both sides of a merge commit modified."""
+    register(spark)
+    out = None
+    for row in merge_commits(commits(spark, repo), limit).collect():
+        ours, theirs = row.parents
+        start = merge_base(repo, ours, theirs)
+        paths = sorted(set(changed_paths(repo, start, ours, True)) & set(changed_paths(repo, start, theirs, True)))
+        if paths:
+            one = spark.read.format("gitblobs").options(repo=repo, revs=f"{start},{ours},{theirs},{row.commit}", names="base,ours,theirs,human", paths="\n".join(paths)).load()
+            one = one.select(F.lit(row.commit).alias("commit"), F.col("path").alias("file_path"), "base", "ours", "theirs", "human")
+            out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], "commit string, file_path string, base string, ours string, theirs string, human string") if out is None else out
 
 
 def diff_versions(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -103,11 +150,9 @@ def merge_inputs(spark: SparkSession, repo: str, ours: str, theirs: str) -> Data
     """(file_path, base, ours, theirs) for files that both branches changed since their merge base."""
     register(spark)
     start = merge_base(repo, ours, theirs)
-    both = changed_files(spark, repo, start, ours).intersect(changed_files(spark, repo, start, theirs))
-    out = both.withColumnRenamed("file", "path")
-    for name, rev in (("base", start), ("ours", ours), ("theirs", theirs)):
-        out = out.join(spark.read.format("gitblobs").options(repo=repo, rev=rev).load().withColumnRenamed("content", name), "path", "left")
-    return out.select(F.col("path").alias("file_path"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("base", "ours", "theirs")]).orderBy("file_path")
+    both = sorted(set(changed_paths(repo, start, ours)) & set(changed_paths(repo, start, theirs)))
+    found = spark.read.format("gitblobs").options(repo=repo, revs=f"{start},{ours},{theirs}", names="base,ours,theirs", paths="\n".join(both)).load()
+    return found.withColumnRenamed("path", "file_path").orderBy("file_path")
 
 
 def working_tree(spark: SparkSession, root: str, endings: list[str]) -> DataFrame:
