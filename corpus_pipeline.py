@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trifold.llm import decontam, neardup, packing, pii, quality_fm
 from trifold.llm.common import table
-from trifold.storage import cut
+from trifold.storage import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, name)
-    return docs
+    with Scratch(spark) as hold:
+        for name, stage in STAGES[:-1]:
+            docs = hold.cut(stage(spark, docs, sf_dir), name)
+        return hold.result(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])

@@ -108,6 +108,9 @@ def test_driver(tmp_path):
     out = (tmp_path / "out.py").read_text()
     assert "return 1" in out and "mid(2)" in out
     open(paths[2], "w").write(A.replace("return x", "return 2"))
+    assert driver.main([*paths, "-l", "9", "-o", str(tmp_path / "out.py")]) == 1
+    marks = [x[:10] for x in (tmp_path / "out.py").read_text().split("\n") if x[:7] in ("<<<<<<<", "=======", ">>>>>>>")]
+    assert marks == ["<<<<<<<<< ", "=========", ">>>>>>>>> "]
     assert driver.main(paths) == 1 and driver.main(["none", *paths[1:]]) == 2
 
 

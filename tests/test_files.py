@@ -8,10 +8,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trifold.functions import merge3
+from trifold.functions import file_merge, merge3
 from trifold.functions.file_merge import merge_files
 from trifold.functions.markers import parse
-from trifold.functions.parsers import extract_entities, extract_regions, member_name, outermost
+from trifold.functions.parsers import extract_entities, extract_regions, member_name, outermost, parses
 
 TEXTS = st.lists(st.sampled_from(["a", "b", "c", "", "  d"]), max_size=9).map(lambda x: "".join(y + "\n" for y in x))
 
@@ -184,3 +184,13 @@ def test_comments_are_those_of_the_language():
     assert one.structural_hash != two.structural_hash
     one, two = (extract_entities(f"def f(a):\n    return a  # {x}\n", "a.py")[0] for x in "xy")
     assert one.structural_hash == two.structural_hash != one.content_hash
+
+
+def test_merges_that_no_longer_parse(monkeypatch):
+    assert [parses(*x) for x in (("def f(:\n", "a.py"), ("x = 1\n", "a.py"), ('{"a": 1}', "a.json"), ("{", "a.json"), ("f(a[1]) { '}' }", "a.c"), ("f(a[1)] {}", "a.c"), ("(", "a.md"))] == [False, True, True, False, True, False, True]
+    base = "int f() {\n  return 1;\n}\n\nint g() {\n  return 1;\n}\n"
+    sides = base, base.replace("f() {\n  return 1", "f() {\n  return 2"), base.replace("g() {\n  return 1", "g() {\n  return 3")
+    assert merge_files(*sides, "a.c").warnings == []
+    whole = file_merge.rebuilt
+    monkeypatch.setattr(file_merge, "rebuilt", lambda *a: whole(*a) + "}")
+    assert merge_files(*sides, "a.c").warnings == ["parse_failed_after_merge"]

@@ -8,7 +8,9 @@ between them; their contents, joined, are the file.
 
 from __future__ import annotations
 
+import ast
 import hashlib
+import json
 import re
 from dataclasses import dataclass
 
@@ -88,6 +90,27 @@ def masked(text: str) -> str:
     return "".join(out)
 
 
+def parses(text: str, path: str) -> bool:
+    """Whether a file is well formed as far as its language is known here: Python's grammar, JSON's, or brackets that pair."""
+    lang = language(path)
+    try:
+        if lang == "python":
+            ast.parse(text)
+        elif lang == "json":
+            json.loads(text)
+        elif lang == "brace":
+            open_at: list[str] = []
+            for c in masked(text):
+                if c in "([{":
+                    open_at.append(c)
+                elif c in ")]}" and (not open_at or open_at.pop() + c not in ("()", "[]", "{}")):
+                    return False
+            return not open_at
+    except (ValueError, SyntaxError, RecursionError, MemoryError):
+        return False
+    return True
+
+
 def _python(lines: list[str]) -> list[tuple]:
     found, stack, decorators = [], [], None
     for n, line in enumerate(lines):
