@@ -6,11 +6,12 @@ The Hilbert index of that cell orders the rows, and equal runs of the order are
 the shards, so each shard covers a compact box of every dimension and minimum
 and maximum statistics of its file prune well on any of them.
 
-The order is global but nothing is sorted globally: rows are counted per
+The order is global but nothing is sorted globally: cells are counted, a cell of
+many rows is dealt to as many salts as its count asks for, rows are counted per
 (cell, salt), the counts get running sums in two levels (at most
 2 ** (dims * bits) rows meet in one task), and a row's rank is its count's
-offset plus its place among the rows of its own (cell, salt). A cell that holds
-a third of all rows is spread over `salts` keys.
+offset plus its place among the rows of its own (cell, salt). Texts are read
+once, for their size and crc; every later pass reads a small stored table.
 
 Law: ``rows``; shard counts differ by one at most. Defined results: null text
 has no bytes; null metadata takes the lowest level; rows that repeat a doc_id
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trifold.llm.common import fresh, quantile_splits, range_bucket
-from trifold.storage import cut
+from trifold.storage import Scratch, cut
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -82,8 +83,8 @@ def string_level(column: Column, splits: list[str]) -> Column:
     return functools.reduce(Column.__add__, [(F.coalesce(column, F.lit("")) >= s).cast("int") for s in splits], F.lit(0))
 
 
-def hilbert_shards(rows: DataFrame, dimensions: list[str], tie: list[str], shards: int, bits: int = 4, salts: int = 64) -> DataFrame:
-    """Add hilbert (long), shard (int) and slot (long) to rows; `tie` columns order the rows of one cell."""
+def hilbert_shards(rows: DataFrame, dimensions: list[str], tie: list[str], shards: int, bits: int = 4, salt_rows: int = 50_000) -> DataFrame:
+    """Add hilbert (long), shard (int) and slot (long) to rows; `tie` columns order the rows of one cell. `rows` should be stored."""
     if len(dimensions) * bits > 20:
         raise ValueError("at most 20 bits of cells, so that their counts stay few")
     levels = []
@@ -102,15 +103,18 @@ def hilbert_shards(rows: DataFrame, dimensions: list[str], tie: list[str], shard
     salt, n, whole, base, total, offset, place = fresh(rows, "salt", "n", "whole", "base", "total", "offset", "place")
     placed = rows.withColumns(dict(zip(own, levels, strict=True)))
     placed = placed.withColumn("hilbert", curve(F.struct(*own))).drop(*own)
-    placed = placed.withColumn(salt, F.pmod(F.xxhash64(*tie), F.lit(salts)).cast("int"))
 
-    counts = placed.groupBy("hilbert", salt).agg(F.count(F.lit(1)).alias(n))
     earlier = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.groupBy("hilbert").agg(F.sum(n).alias(whole))
+    cells = placed.groupBy("hilbert").agg(F.count(F.lit(1)).alias(whole))
     all_rows = F.sum(whole).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    cells = cells.select("hilbert", F.coalesce(F.sum(whole).over(earlier), F.lit(0)).alias(base), all_rows.alias(total))
+    cells = cells.select("hilbert", whole, F.coalesce(F.sum(whole).over(earlier), F.lit(0)).alias(base), all_rows.alias(total))
+    # at most 2 ** 20 rows of four numbers
+    salts = F.ceil(F.col(whole) / salt_rows)
+    placed = placed.join(F.broadcast(cells), "hilbert").withColumn(salt, F.pmod(F.xxhash64(*tie), salts).cast("int")).drop(whole)
+
+    counts = placed.groupBy("hilbert", salt, base).agg(F.count(F.lit(1)).alias(n))
     inside = Window.partitionBy("hilbert").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.join(cells, "hilbert").select("hilbert", salt, total, (F.col(base) + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(offset))
+    offsets = counts.select("hilbert", salt, (F.col(base) + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(offset))
 
     in_group = F.row_number().over(Window.partitionBy("hilbert", salt).orderBy(*tie)) - 1
     ranked = placed.withColumn(place, in_group).join(offsets, ["hilbert", salt])
@@ -118,16 +122,17 @@ def hilbert_shards(rows: DataFrame, dimensions: list[str], tie: list[str], shard
     # shard s begins at rank ceil(s * total / shards)
     ranked = ranked.withColumn("shard", F.expr(f"cast(((`{offset}` + `{place}`) * {shards}) div `{total}` as int)"))
     first = F.expr(f"(shard * `{total}` + {shards} - 1) div {shards}")
-    return ranked.withColumn("slot", rank - first).drop(salt, offset, place, total)
+    return ranked.withColumn("slot", rank - first).drop(salt, offset, place, total, base)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert."""
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
-    small = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source")
-    return hilbert_shards(small, ["size", "lang", "source"], ["doc_id", "text_crc32"], shards).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert"
-    )
+    with Scratch(docs.sparkSession) as hold:
+        small = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source")
+        placed = hilbert_shards(hold.cut(small, "sizes"), ["size", "lang", "source"], ["doc_id", "text_crc32"], shards)
+        found = placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+        return hold.result(found, "shards")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
