@@ -207,5 +207,8 @@ def test_fingerprints_odd(odd, none, monkeypatch):
 
 def test_runs_give_the_global_next(spark):
     docs = spark.createDataFrame([(i * 3, f"text {i}") for i in range(500)], "doc_id long, text string")
-    got = {r.doc_id: r.next_text for r in sketch.with_next(docs, run_rows=20).collect()}
-    assert got == {i * 3: f"text {i - 1 if i else 499}" for i in range(500)}
+    for most in (4, 16384):  # runs cut further by steps of doc_id, and by quantiles alone
+        got = {r.doc_id: r.next_text for r in sketch.with_next(docs, run_rows=20, most=most).collect()}
+        assert got == {i * 3: f"text {i - 1 if i else 499}" for i in range(500)}
+        runs = docs.groupBy(sketch.runs_of(docs, 20, most)).count().collect()
+        assert len(runs) >= 20 and max(r["count"] for r in runs) <= 60

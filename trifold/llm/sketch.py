@@ -29,7 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trifold.llm.common import let, quantile_splits, range_bucket
+from trifold.llm.common import let, maybe_broadcast, quantile_splits, range_bucket
+from trifold.storage import cut
 
 #: One of so many hashes is kept.
 SCALE = 2
@@ -86,17 +87,36 @@ def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     return kept(F.array_union(a, b), scale)
 
 
-def with_next(docs: DataFrame, run_rows: int = 2000) -> DataFrame:
+def runs_of(docs: DataFrame, run_rows: int, most: int) -> Column:
+    """A number for each doc_id that grows with it, shared by about run_rows rows.
+
+    Up to `most` quantile borders are held in the plan; where there are more rows, each
+    stretch between borders is cut into equal steps of doc_id. Null comes first.
+    """
+    rows, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    buckets = max(1, min(most, rows // run_rows))
+    splits = quantile_splits(docs, "doc_id", buckets)
+    bucket = range_bucket(F.col("doc_id"), splits).cast("long")
+    steps = max(1, rows // (buckets * run_rows))
+    if steps == 1 or low is None:
+        return bucket
+    borders = [low, *map(int, splits), high + 1]
+    begin, width = (F.get(F.array(*[F.lit(x) for x in held]), bucket.cast("int")) for held in (borders[:-1], [max(1, -(-(hi - lo) // steps)) for lo, hi in zip(borders, borders[1:])]))
+    step = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.floor((F.col("doc_id") - begin) / width))), F.lit(0))
+    return bucket * steps + step
+
+
+def with_next(docs: DataFrame, run_rows: int = 2000, most: int = 16384) -> DataFrame:
     """doc_id, text and sketch with next_text and next_sketch of the document before in doc_id."""
     plain = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    runs = max(1, min(16384, plain.select("doc_id").count() // run_rows))
-    placed = plain.withColumn("run", range_bucket(F.col("doc_id"), quantile_splits(plain.select("doc_id"), "doc_id", runs)))
-    # first document of each run: at most 16,384 rows of two numbers, then their texts
+    placed = plain.withColumn("run", runs_of(plain.select("doc_id"), run_rows, most))
+    # first document of each run: one row of two numbers each, then their texts
     firsts = placed.groupBy("run").agg(F.max("doc_id").alias("doc_id"))
     order = Window.orderBy("run")
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     closes = firsts.select(F.col("doc_id").alias("first_id"), F.coalesce(F.lead("run").over(order), F.min("run").over(every)).alias("closed"))
-    ends = placed.join(F.broadcast(closes), F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("closed").agg(F.min("text").alias("text"))
+    closes = cut(closes, "run-ends")
+    ends = placed.join(maybe_broadcast(closes, closes.count()), F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("closed").agg(F.min("text").alias("text"))
     ends = ends.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("closed").alias("run"), F.lit(True).alias("end"))
     rows = placed.withColumn("end", F.lit(False)).unionByName(ends)
     dealt = rows.repartition("run")  # before the sketches, which the window then finds in place
