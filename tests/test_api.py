@@ -6,6 +6,7 @@ import pytest
 from trifold import api, cli, driver
 from trifold.functions.file_merge import collapse_separators, expand_separators, line_fallback
 from trifold.operators import bench, graph
+from trifold.sources import git as source
 
 A = "def low(x):\n    return x\n\n\ndef mid(x):\n    return low(x)\n\n\ndef top(x):\n    return mid(x)\n"
 
@@ -49,7 +50,7 @@ def test_sync_and_recorded_merges(w, spark):
     assert {r.name for r in api.record_merge(after, merged).collect()} == {"low", "mid", "top", "other", "new"}
 
 
-def test_commands(tmp_path, capsys, spark):
+def test_commands(tmp_path, capsys, spark, monkeypatch):
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e", *a], check=True, capture_output=True)
     said = lambda *a: (cli.main(["--root", str(tmp_path), *a]), [json.loads(x) for x in capsys.readouterr().out.splitlines()])[1]
     git("init", "-q", "-b", "main")
@@ -73,6 +74,10 @@ def test_commands(tmp_path, capsys, spark):
     assert said("summary", str(tmp_path / "m.py"))[0]["entity"] == "f"
     git("merge", "-q", "-s", "ours", "-m", "4", "other")
     assert said("bench-repo")[0]["tested"] == 2
+    changed = {(r.entity_id.split("::")[-1], r.change) for r in api.diff_refs(spark, str(tmp_path), "main~1", "other").filter("entity_id like 'a.py%'").collect()}
+    assert changed == {("low", "modified"), ("top", "modified")}
+    monkeypatch.setenv("TRIFOLD_REPO", str(tmp_path))
+    assert source.discover_root(str(tmp_path / "a.py")) == source.discover_root("a.py") == source.discover_root() == str(tmp_path)
     cli.main(["--root", str(tmp_path), "setup"]), cli.main(["--root", str(tmp_path), "setup"])
     assert (tmp_path / ".gitattributes").read_text().count("*.py merge=trifold") == 1
 

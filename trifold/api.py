@@ -139,6 +139,19 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return entities.diff_with_renames(table(before), table(after))
 
 
+def versions(spark: SparkSession, repo: str, before: str, after: str) -> tuple[DataFrame, DataFrame]:
+    """(path, content) of the files that changed between two revisions, at each of them; absent files are left out."""
+    git.register(spark)
+    paths = "\n".join(git.changed_paths(repo, before, after))
+    read = lambda rev: spark.read.format("gitblobs").options(repo=repo, rev=rev, paths=paths).load().filter("content <> ''")
+    return read(before), read(after)
+
+
+def diff_refs(spark: SparkSession, repo: str, before: str, after: str) -> DataFrame:
+    """entity_id, change, was between two revisions."""
+    return diff(*versions(spark, repo, before, after))
+
+
 def diff_totals(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: files_analyzed (those that differ) and total_changes."""
     changes = diff(before, after).agg(F.count(F.lit(1)).alias("total_changes"))

@@ -61,7 +61,7 @@ def compared(cases: DataFrame, keys: list[str]) -> DataFrame:
 
 def main(argv: list[str] | None = None) -> int:
     args = argparse.ArgumentParser(prog="trifold")
-    args.add_argument("--root", default=".")
+    args.add_argument("--root")
     commands = args.add_subparsers(dest="command", required=True)
     add = commands.add_parser
     add("setup")
@@ -82,6 +82,7 @@ def main(argv: list[str] | None = None) -> int:
     one = add("summary")
     one.add_argument("file")
     got = args.parse_args(argv)
+    got.root = got.root or git.discover_root(getattr(got, "file_path", None))
 
     if got.command == "setup":
         setup(got.root)

@@ -258,6 +258,19 @@ def right_stripped(text: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(lines(text), lambda x: F.regexp_replace(x, f"{_SPACE}$", "")), "\n"), f"{_SPACE}$", "")
 
 
+def differing_lines(left: Column, right: Column) -> Column:
+    """array<struct(line, left, right)>: lines of one number that differ beyond trailing white space; an absent line is empty."""
+    bare = lambda x: F.regexp_replace(x, f"{_SPACE}$", "")
+
+    def pairs(s: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.size(s["l"]), F.size(s["r"]), F.lit(1)) - 1)
+        line = lambda side, i: F.coalesce(F.get(s[side], i), F.lit(""))
+        each = F.transform(numbers, lambda i: F.struct((i + 1).alias("line"), line("l", i).alias("left"), line("r", i).alias("right")))
+        return F.filter(each, lambda x: bare(x["left"]) != bare(x["right"]))
+
+    return let(F.struct(lines(left).alias("l"), lines(right).alias("r")), pairs)
+
+
 def short_hash(commit: Column) -> Column:
     return F.substring(commit, 1, 8)
 

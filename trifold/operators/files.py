@@ -24,7 +24,8 @@ _MERGED = [("content", pa.string()), ("is_clean", pa.bool_()), ("confidence", pa
 def merge_table(files: DataFrame, keys: list[str]) -> DataFrame:
     """keys and the merge of each row. Trivial rows (a side equals another) never reach Python."""
     bound_batches(files.sparkSession)
-    text = files.select(*keys, *[F.coalesce(c, F.lit("")).alias(c) for c in ("file_path", "base", "ours", "theirs")])
+    read = ("file_path", "base", "ours", "theirs")
+    text = files.select(*[k for k in keys if k not in read], *[F.coalesce(c, F.lit("")).alias(c) for c in read])
     trivial = (F.col("ours") == F.col("theirs")) | (F.col("base") == F.col("ours")) | (F.col("base") == F.col("theirs"))
     kept = F.when((F.col("ours") == F.col("theirs")) | (F.col("base") == F.col("theirs")), F.col("ours")).otherwise(F.col("theirs"))
     mine = ((F.col("base") == F.col("theirs")) & (F.col("ours") != F.col("theirs"))).cast("int")
@@ -43,7 +44,7 @@ def merge_table(files: DataFrame, keys: list[str]) -> DataFrame:
             made = [pa.array([r[name] for r in rows], kind) for name, kind in _MERGED]
             yield pa.RecordBatch.from_arrays([b[k] for k in keys] + made, keys + [n for n, _ in _MERGED])
 
-    return easy.unionByName(hard.select(*dict.fromkeys([*keys, "file_path", "base", "ours", "theirs"])).mapInArrow(run, f"{kinds}, {MERGED}"))
+    return easy.unionByName(hard.select(*dict.fromkeys([*keys, *read])).mapInArrow(run, f"{kinds}, {MERGED}"))
 
 
 def line_merge_table(files: DataFrame, keys: list[str]) -> DataFrame:

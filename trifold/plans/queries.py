@@ -369,6 +369,14 @@ def display_texts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {fx.TEXT_VERSIONS_SQL}, l AS (SELECT doc_id, {LINES_SQL.format('base')} AS a, {LINES_SQL.format('ours')} AS b FROM versions),
+n AS (SELECT *, unnest(range(1, greatest(len(a), len(b)) + 1)) AS line FROM l), p AS (SELECT doc_id, line, coalesce(a[line], '') AS x, coalesce(b[line], '') AS y FROM n)
+SELECT doc_id, CAST(line AS INTEGER) AS line, x AS "left", y AS "right" FROM p WHERE rtrim(x) <> rtrim(y)""")
+def inline_diff(spark: SparkSession, d: str) -> DataFrame:
+    v = fx.text_versions(spark, d).select("doc_id", F.explode(text.differing_lines(F.col("base"), F.col("ours"))).alias("d"))
+    return v.select("doc_id", "d.line", "d.left", "d.right")
+
+
 # ---- whole files
 
 def source_files(spark: SparkSession, d: str) -> DataFrame:

@@ -41,6 +41,17 @@ def repo_root(path: str) -> str:
     return _git(folder, "rev-parse", "--show-toplevel").strip()
 
 
+def discover_root(path: str | None = None) -> str:
+    """The repository of an absolute path, else the folder that TRIFOLD_REPO names, else the repository of the current folder."""
+    if path and os.path.isabs(path):
+        try:
+            return repo_root(path)
+        except RuntimeError:
+            pass
+    named = os.environ.get("TRIFOLD_REPO", "")
+    return named if os.path.isdir(named) else repo_root(".")
+
+
 def merge_base(repo: str, a: str, b: str) -> str:
     return _git(repo, "merge-base", a, b).strip()
 
