@@ -69,6 +69,12 @@ def last_content(regions: DataFrame, key: list[str], order: str, content: str) -
     return regions.groupBy(*key).agg(F.max_by(content, order).alias(content))
 
 
+def join_lines(lines: DataFrame, key: list[str], order: str, line: str) -> DataFrame:
+    """key, content: the lines of each key in order, each ended by a newline."""
+    inside = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(line).alias("line"))))
+    return lines.groupBy(*key).agg(inside.alias("all")).select(*key, F.concat(F.array_join(F.transform("all", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
+
+
 def predecessors(entities: DataFrame, group: list[str], order: str, entity: str) -> DataFrame:
     """The entity before each one in file order; null for the first."""
     return entities.withColumn("predecessor", F.lag(entity).over(Window.partitionBy(*group).orderBy(order)))

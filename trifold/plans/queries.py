@@ -188,8 +188,7 @@ def region_last_wins(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, string_agg(line, chr(10) ORDER BY n) || chr(10) AS content FROM r GROUP BY doc_id""")
 def reconstruct_text(spark: SparkSession, d: str) -> DataFrame:
     lines = fx.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    inside = F.array_sort(F.collect_list(F.struct("n", "line")))
-    return lines.groupBy("doc_id").agg(inside.alias("l")).select("doc_id", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
+    return entities.join_lines(lines, ["doc_id"], "n", "line")
 
 
 # ---- lines and texts
