@@ -119,3 +119,34 @@ def test_exported_files(spark, odd, tmp_path):
     n = tokenbits.export_segments(spark, path, str(tmp_path))
     images = [tokenbits.Segment((tmp_path / f).read_bytes()) for f in sorted(p.name for p in tmp_path.iterdir())]
     assert len(images) == n and sum(len(x.doc_ids) for x in images) == odd.count()
+
+
+def test_one_block_of_a_stored_image(spark):
+    """A document's ids come from the blocks that hold them alone: the rest of the query's own files may be destroyed."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts, t = {r.doc_id: r.text for r in docs.collect()}, Tokenizer.from_file(path)
+    stored = tokenbits.write_segments(docs, path, 2, segment_ids=40_000)
+    images = spark.read.parquet(stored).orderBy("run", "segment").collect()
+    assert len(images) > 1 and [i for r in images for i in tokenbits.Segment(r.image).doc_ids] == sorted(texts)
+    for row in images:
+        one = tokenbits.Segment(row.image)
+        assert row.n_ids == one.n_ids and row.n_docs == len(one.doc_ids) and one.width == 16
+        for k in range(0, row.n_docs, 7):
+            first, last = int(one.starts[k]) // one.block_ids, -(-int(one.starts[k + 1]) // one.block_ids)
+            begin = len(row.image) - len(one.payload)
+            wiped = bytearray(b"\xff" * len(row.image))
+            wiped[:begin] = row.image[:begin]
+            kept = slice(begin + int(one.offsets[first]), begin + int(one.offsets[last]))
+            wiped[kept] = row.image[kept]
+            assert (tokenbits.Segment(bytes(wiped)).document(k) == ids_of(texts[one.doc_ids[k]], t)).all()
+
+
+def test_memory_is_bounded_in_bytes():
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    e.of_spaced.limit = 50_000
+    for k in range(3000):
+        text = f"see word{k:x}q a{'b' * 100}{k}"
+        assert e.encode(text) == e.whole(text)
+        assert e.of_spaced.size <= 50_000 and len(e.of_spaced) + len(e.of_spaced.old) < 700
+    assert max(map(len, e.of_spaced)) <= 64
