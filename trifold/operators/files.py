@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trifold.functions import merge3
-from trifold.storage import bound_batches
+from trifold.storage import bound_batches, spread
 
 CONFLICT = "struct<entity_name:string,entity_type:string,kind:string,base:string,ours:string,theirs:string,detail:string>"
 STATS = "struct<unchanged:int,ours_only:int,theirs_only:int,both_changed_merged:int,conflicted:int,added_ours:int,added_theirs:int,deleted:int,via_lines:int,via_inner:int,used_fallback:boolean>"
@@ -44,7 +44,7 @@ def merge_table(files: DataFrame, keys: list[str]) -> DataFrame:
             made = [pa.array([r[name] for r in rows], kind) for name, kind in _MERGED]
             yield pa.RecordBatch.from_arrays([b[k] for k in keys] + made, keys + [n for n, _ in _MERGED])
 
-    return easy.unionByName(hard.select(*dict.fromkeys([*keys, *read])).mapInArrow(run, f"{kinds}, {MERGED}"))
+    return easy.unionByName(spread(hard.select(*dict.fromkeys([*keys, *read]))).mapInArrow(run, f"{kinds}, {MERGED}"))
 
 
 def line_merge_table(files: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,7 +58,7 @@ def line_merge_table(files: DataFrame, keys: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b[k] for k in keys] + [pa.array([x.text for x in found], pa.string()), pa.array([x.conflicts for x in found], pa.int32())], [*keys, "merged", "n_conflicts"])
 
     text = files.select(*keys, *[F.coalesce(c, F.lit("")).alias(c) for c in ("base", "ours", "theirs")])
-    return text.mapInArrow(run, f"{kinds}, merged string, n_conflicts int")
+    return spread(text).mapInArrow(run, f"{kinds}, merged string, n_conflicts int")
 
 
 def entity_table(files: DataFrame, path: str = "file_path", content: str = "content") -> DataFrame:
@@ -78,7 +78,7 @@ def entity_table(files: DataFrame, path: str = "file_path", content: str = "cont
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in numbers else pa.string()) for n, c in zip(names, columns, strict=True)], names)
 
-    return files.select(F.col(path).alias("path"), F.col(content).alias("text")).mapInArrow(run, ENTITY)
+    return spread(files.select(F.col(path).alias("path"), F.col(content).alias("text"))).mapInArrow(run, ENTITY)
 
 
 def preview(merged: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trifold.storage import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,7 +61,7 @@ classed AS (
 def text_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, base, ours, theirs: documents with an import block in front and per-side line edits."""
     d = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     edited = lambda m, mark: F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.when((i + d) % m == 0, F.concat(x, F.lit(mark))).otherwise(x)), "\n")
     head = F.concat(F.lit("import alpha\nimport beta"), (d % 3).cast("string"), F.lit("\n"))
     mine = F.concat(F.when(d % 2 == 0, head).otherwise(F.lit("import alpha\n")), F.lit("import ours"), (d % 4).cast("string"), F.lit("\n"))

@@ -68,3 +68,14 @@ class Scratch:
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches by bytes as well as by rows, so that very long texts can't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+#: Bytes a core below which a table is dealt anew before Python reads it.
+SMALL = 2 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a file or two dealt to all cores, before work in Python that takes far longer than moving it; larger ones as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SMALL else df
