@@ -97,10 +97,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent:
         short = F.when(F.size("words") < size, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
         sought = items.select("item_id", F.array_distinct(shingle_texts(F.col("words"), size)).alias("shingles"), short.alias("short"))
         of_item = candidates.join(F.broadcast(sought) if few_strings(items.select(F.array_join("words", " ").alias("line")), "line") else sought, "item_id")
-        pairs = of_item.join(whole, F.col("doc_id").eqNullSafe(F.col("of")))
-        n = F.when(F.col("short").isNull(), F.size("shingles")).otherwise(1)
-        shared = F.when(F.col("short").isNull(), F.size(F.array_intersect("shingles", "has"))).otherwise(F.contains("line", "short").cast("int"))
-        counted = pairs.select("doc_id", "item_id", n.cast("long").alias("n_shingles"), shared.cast("long").alias("n_shared"))
+        # the items of a document together, so that its shingles move once however many items it may hold
+        grouped = of_item.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shingles", "short")).alias("sought"))
+
+        def count(item: Column) -> Column:
+            whole_item = item["short"].isNull()
+            n = F.when(whole_item, F.size(item["shingles"])).otherwise(1)
+            shared = F.when(whole_item, F.size(F.array_intersect(item["shingles"], "has"))).otherwise(F.contains("line", item["short"]).cast("int"))
+            return F.struct(item["item_id"].alias("item_id"), n.cast("long").alias("n_shingles"), shared.cast("long").alias("n_shared"))
+
+        pairs = grouped.join(whole, F.col("doc_id").eqNullSafe(F.col("of")))
+        counted = pairs.select("doc_id", F.inline(F.transform("sought", count)))
         kept = counted.filter(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
         leaks = kept.groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared"))
         return hold.result(leaks.withColumn("containment", F.round(F.col("n_shared") / F.col("n_shingles"), 6)), "contaminated")
