@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trifold.storage import shared_dir
+from trifold.storage import drop_shared, shared_dir, write_shared
 
 
 def dependencies(edges: DataFrame, entities: DataFrame) -> DataFrame:
@@ -32,9 +32,12 @@ def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(id, depth): entities that depend on the starts, directly or not, with the fewest steps.
 
     A frontier moves one step a round and only over entities not yet seen, so
-    cycles end. Each frontier is written once, into one table of all that was seen.
+    cycles end. The edges are written once, and each frontier once, into one table of
+    all that was seen.
     """
     spark = edges.sparkSession
+    stored = write_shared(edges.select("src", "dst"), "edges")
+    edges = spark.read.schema(edges.select("src", "dst").schema).parquet(stored)
     table = f"{shared_dir(spark)}/reach-{uuid.uuid4().hex}"
     schema = starts.select("id", F.lit(0).alias("depth")).schema
     part = lambda depth: spark.read.schema(schema).parquet(f"{table}/round-{depth:06d}")
@@ -44,6 +47,7 @@ def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
         step = edges.join(part(depth - 1).select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
         step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)).write.parquet(f"{table}/round-{depth:06d}")
         if part(depth).isEmpty():
+            drop_shared(spark, stored)
             return seen.filter("depth > 0")
 
 

@@ -77,5 +77,5 @@ SMALL = 2 << 20
 def spread(df: DataFrame) -> DataFrame:
     """A table of a file or two dealt to all cores, before work in Python that takes far longer than moving it; larger ones as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SMALL else df
