@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trifold.storage import drop_shared, shared_dir, write_shared
@@ -45,8 +45,10 @@ def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
     for depth in itertools.count(1):
         seen = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(table)
         step = edges.join(part(depth - 1).select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
-        step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)).write.parquet(f"{table}/round-{depth:06d}")
-        if part(depth).isEmpty():
+        found = Observation()
+        new = step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)).observe(found, F.count(F.lit(1)).alias("n"))
+        new.write.parquet(f"{table}/round-{depth:06d}")
+        if not found.get["n"]:
             drop_shared(spark, stored)
             return seen.filter("depth > 0")
 
