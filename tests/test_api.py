@@ -1,9 +1,10 @@
+import io
 import json
 import subprocess
 
 import pytest
 
-from trifold import api, cli, driver
+from trifold import api, cli, driver, serve
 from trifold.functions.file_merge import collapse_separators, expand_separators, line_fallback
 from trifold.operators import bench, graph
 from trifold.sources import git as source
@@ -126,3 +127,30 @@ def test_bench(spark):
     assert bench.false_conflict_reduction(cases).first().reduction == pytest.approx(2 / 3)
     files = spark.createDataFrame([("a.py", "x", "y", "z"), ("a.bin", "x", "y", "z"), ("b.py", "x", "y", "y")], "file_path string, base string, ours string, theirs string")
     assert [x.file_path for x in bench.eligible(files).collect()] == ["a.py"]
+
+
+def test_tools(tmp_path, spark):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e", *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    (tmp_path / "a.py").write_text(A)
+    git("add", "-A"), git("commit", "-qm", "1")
+    (tmp_path / "a.py").write_text(A.replace("return x", "return 1").replace("return low(x)", "return low(2)"))
+    git("commit", "-qam", "2")
+    tools, calls = serve.Tools(spark, str(tmp_path)), []
+    ask = lambda name, **a: calls.append({"jsonrpc": "2.0", "id": name, "method": "tools/call", "params": {"name": name, "arguments": a}})
+    low = {"file_path": "a.py", "entity_name": "low"}
+    ask("agent_register", agent_id="me"), ask("claim_entity", agent_id="me", **low), ask("agent_heartbeat", agent_id="me", working_on=["a.py::function::mid"])
+    ask("claim_entity", agent_id="you", file_path="a.py", entity_name="mid"), ask("who_is_editing", **low), ask("potential_conflicts"), ask("status", file_path="a.py"), ask("extract_entities", file_path="a.py")
+    ask("get_dependencies", file_path="a.py", entity_name="mid"), ask("get_dependents", **low), ask("impact_analysis", **low), ask("release_entity", agent_id="me", **low)
+    ask("diff", base_ref="HEAD~1"), ask("validate_merge", base_ref="HEAD~1"), ask("merge_summary", file_path="a.py"), ask("no_such_tool")
+    said = io.StringIO()
+    head = ['{"id": 1, "method": "initialize"}', '{"method": "notifications/initialized"}', '{"id": 2, "method": "tools/list"}', "no json"]
+    serve.loop(tools, [*head, *map(json.dumps, calls)], said)
+    got = [json.loads(x) for x in said.getvalue().splitlines()]
+    assert got[0]["result"]["serverInfo"]["name"] == "trifold" and len(got[1]["result"]["tools"]) == 15 and "error" in got[2]
+    assert "error" in got[-1] and all("result" in x for x in got[3:-1]), [x for x in got[3:-1] if "result" not in x]
+    rows = [[json.loads(c["text"]) for c in x["result"]["content"]] for x in got[3:-1]]
+    assert [r[0][0].get("outcome") for r in (rows[1], rows[3], rows[11])] == ["claimed", "claimed", "released"]
+    assert rows[5][0][0]["agents"] == ["me", "you"] and [x["agent_id"] for x in rows[4][0]] == ["me"] and len(rows[6][0]) == len(rows[7][0]) == 3
+    assert rows[10][1] == [{"total_affected": 2}] and rows[12][1] == [{"files_analyzed": 1, "total_changes": 2}] and rows[14][1] == [{"conflict_count": 0}]
+    assert [(x["src"].split("::")[-1], x["dst"].split("::")[-1]) for x in rows[13][0]] == [("mid", "low")]

@@ -84,7 +84,7 @@ def release_entity(w: Workspace, agent_id: str, path: str, name: str, ts: int) -
 
 
 def status(w: Workspace, path: str) -> DataFrame:
-    return extract_entities(w, path).select("entity_id", "name", "entity_type").join(state.current_claims(w.log()), "entity_id", "left").join(state.entity_status(w.log()), "entity_id", "left")
+    return state.file_status(extract_entities(w, path).select("entity_id", "name", "entity_type"), w.log())
 
 
 def who_is_editing(w: Workspace, path: str, name: str) -> DataFrame:

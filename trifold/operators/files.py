@@ -81,6 +81,39 @@ def entity_table(files: DataFrame, path: str = "file_path", content: str = "cont
     return spread(files.select(F.col(path).alias("path"), F.col(content).alias("text"))).mapInArrow(run, ENTITY)
 
 
+def region_table(files: DataFrame, path: str = "file_path", content: str = "content") -> DataFrame:
+    """file_path, ord, kind (entity or gap), key, content: the regions of each file; joined in order they are the file."""
+    bound_batches(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from trifold.functions.parsers import extract_entities, extract_regions
+
+        for b in batches:
+            rows = []
+            for file_path, text in zip(b["path"].to_pylist(), b["text"].to_pylist(), strict=True):
+                for n, r in enumerate(extract_regions(text or "", extract_entities(text or "", file_path or ""))):
+                    rows.append((file_path, n, r.kind, r.key, r.content))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.string()) for k, c in enumerate(columns)], ["file_path", "ord", "kind", "key", "content"])
+
+    return spread(files.select(F.col(path).alias("path"), F.col(content).alias("text"))).mapInArrow(run, "file_path string, ord int, kind string, key string, content string")
+
+
+def separators(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, expanded (separators on lines of their own) and collapsed (that undone)."""
+    bound_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from trifold.functions.file_merge import collapse_separators, expand_separators
+
+        for b in batches:
+            expanded = [expand_separators(x or "") for x in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array(expanded, pa.string()), pa.array(list(map(collapse_separators, expanded)), pa.string())], ["key", "expanded", "collapsed"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return spread(texts.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"key {kind}, expanded string, collapsed string").withColumnRenamed("key", key)
+
+
 def preview(merged: DataFrame) -> DataFrame:
     """One row: files analysed, clean, conflicted, auto-resolved, and the least confidence."""
     order = F.when(F.col("confidence") == "conflict", 0).when(F.col("confidence") == "medium", 1).when(F.col("confidence") == "high", 2).otherwise(3)

@@ -117,3 +117,8 @@ def claim_warnings(claims: DataFrame, edges: DataFrame, agent_id: str, entity_id
     near = edges.filter(F.col("src") == entity_id).select(F.col("dst").alias("entity_id"), F.lit("dependency").alias("relation"))
     near = near.union(edges.filter(F.col("dst") == entity_id).select("src", F.lit("dependent")))
     return near.join(claims, "entity_id").filter(F.col("claimed_by") != agent_id)
+
+
+def file_status(entities: DataFrame, log: DataFrame) -> DataFrame:
+    """entities with claimed_by, version and last modification; entities without either keep nulls."""
+    return entities.join(current_claims(log), "entity_id", "left").join(entity_status(log), "entity_id", "left")

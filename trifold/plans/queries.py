@@ -13,6 +13,17 @@ from trifold.plans import fixtures as fx
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
 VALUES = ["status", "priority"]
+#: Claims and releases, replayed one step of every entity at a time.
+CLAIMS_SQL = """steps AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts, seq) AS rn FROM log WHERE op IN ('claim', 'release')),
+folded AS (
+  SELECT entity_id, ts, seq, agent_id, op, rn, CASE op WHEN 'claim' THEN 'claimed' ELSE 'ignored' END AS outcome, CASE op WHEN 'claim' THEN agent_id END AS claimed_by FROM steps WHERE rn = 1
+  UNION ALL
+  SELECT s.entity_id, s.ts, s.seq, s.agent_id, s.op, s.rn,
+    CASE WHEN s.op = 'release' THEN CASE WHEN f.claimed_by = s.agent_id THEN 'released' ELSE 'ignored' END
+         WHEN f.claimed_by IS NULL THEN 'claimed' WHEN f.claimed_by = s.agent_id THEN 'already_owned_by_self' ELSE 'already_claimed' END,
+    CASE WHEN s.op = 'claim' THEN coalesce(f.claimed_by, s.agent_id) WHEN f.claimed_by = s.agent_id THEN NULL ELSE f.claimed_by END
+  FROM folded f JOIN steps s ON s.entity_id = f.entity_id AND s.rn = f.rn + 1),
+claims AS (SELECT entity_id, arg_max(coalesce(claimed_by, ''), rn) AS claimed_by FROM folded GROUP BY entity_id HAVING arg_max(coalesce(claimed_by, ''), rn) <> '')"""
 
 
 def query(sql: str | None = None):
@@ -370,10 +381,10 @@ def display_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {fx.TEXT_VERSIONS_SQL}, l AS (SELECT doc_id, {LINES_SQL.format('base')} AS a, {LINES_SQL.format('ours')} AS b FROM versions),
 n AS (SELECT *, unnest(range(1, greatest(len(a), len(b)) + 1)) AS line FROM l), p AS (SELECT doc_id, line, coalesce(a[line], '') AS x, coalesce(b[line], '') AS y FROM n)
-SELECT doc_id, CAST(line AS INTEGER) AS line, x AS "left", y AS "right" FROM p WHERE rtrim(x) <> rtrim(y)""")
+SELECT doc_id, CAST(line AS INTEGER) AS line, x AS base_line, y AS ours_line FROM p WHERE rtrim(x) <> rtrim(y)""")
 def inline_diff(spark: SparkSession, d: str) -> DataFrame:
     v = fx.text_versions(spark, d).select("doc_id", F.explode(text.differing_lines(F.col("base"), F.col("ours"))).alias("d"))
-    return v.select("doc_id", "d.line", "d.left", "d.right")
+    return v.select("doc_id", "d.line", F.col("d.left").alias("base_line"), F.col("d.right").alias("ours_line"))
 
 
 # ---- whole files
@@ -454,6 +465,33 @@ def parse_entities(spark: SparkSession, d: str) -> DataFrame:
     return files.entity_table(source_files(spark, d), "file_path", "ours").drop("structural_hash")
 
 
+@query("""WITH f AS (SELECT 'src/m' || p_partkey || '.py' AS file_path, unnest(range(0, 9)) AS ord, p_size AS s, p_partkey % 2 = 1 AS odd FROM part),
+e AS (SELECT *, substr('abcd', (ord + 1) // 2, 1) AS name, CASE WHEN ord = 1 THEN '1' WHEN ord = 5 AND odd THEN '7' ELSE CAST(s AS VARCHAR) END AS body FROM f)
+SELECT file_path, CAST(ord AS INTEGER) AS ord, CASE WHEN ord % 2 = 1 THEN 'entity' ELSE 'gap' END AS kind,
+  CASE WHEN ord = 0 THEN 'after:start' WHEN ord % 2 = 0 THEN 'after:' ELSE '' END || CASE WHEN ord > 0 THEN file_path || '::function::' || name ELSE '' END AS key,
+  CASE WHEN ord = 0 THEN 'import os' || chr(10) || 'import re' || chr(10) || 'import sys' || repeat(chr(10), 3) WHEN ord % 2 = 0 THEN repeat(chr(10), 2)
+    ELSE 'def ' || name || '(x):' || chr(10) || '    y = x' || chr(10) || '    return ' || body || chr(10) END AS content FROM e""")
+def extract_regions(spark: SparkSession, d: str) -> DataFrame:
+    return files.region_table(source_files(spark, d), "file_path", "ours")
+
+
+@query("""SELECT doc_id, md5(coalesce(text, '') || '{a;}') AS collapsed_md5, true AS on_lines FROM documents""")
+def separator_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A block after each text goes to lines of its own and comes back; what stands in strings and comments stays."""
+    made = fx.table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("{a;}")).alias("text"))
+    found = files.separators(made, "doc_id", "text")
+    return found.select("doc_id", F.md5(F.col("collapsed").cast("binary")).alias("collapsed_md5"), (F.length("expanded") >= F.length("collapsed")).alias("on_lines"))
+
+
+@query(f"""WITH RECURSIVE {fx.LOG_SQL}, {CLAIMS_SQL}, e AS (SELECT DISTINCT entity_id, CAST(substr(entity_id, 7) AS BIGINT) % 7 AS file FROM log)
+SELECT file, entity_id, claimed_by, v.version, v.last_modified_by FROM e LEFT JOIN claims USING (entity_id)
+LEFT JOIN (SELECT entity_id, count(*) AS version, max_by(agent_id, (ts, seq)) AS last_modified_by FROM log WHERE op = 'modify' GROUP BY entity_id) v USING (entity_id)""")
+def file_status(spark: SparkSession, d: str) -> DataFrame:
+    log = fx.operation_log(spark, d)
+    held = log.select("entity_id").distinct().withColumn("file", F.substring("entity_id", 7, 20).cast("long") % 7)
+    return state.file_status(held, log).select("file", "entity_id", "claimed_by", "version", "last_modified_by")
+
+
 # ---- graphs
 
 @query(f"WITH {fx.GRAPH_SQL} SELECT src, dst FROM edges WHERE src IN ('s1', 's2', 'p90')")
@@ -495,17 +533,6 @@ def entity_status(spark: SparkSession, d: str) -> DataFrame:
 AGENTS_SQL = f"""{fx.LOG_SQL}, known AS (SELECT agent_id, min((ts, seq)) AS since FROM log WHERE op = 'register' GROUP BY agent_id),
 seen AS (SELECT l.*, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, seq DESC) AS rn FROM log l JOIN known USING (agent_id) WHERE op IN ('register', 'heartbeat') AND (ts, seq) >= since),
 agents AS (SELECT agent_id, ts AS last_seen, CASE WHEN op = 'heartbeat' THEN entity_id ELSE '' END AS working_on FROM seen WHERE rn = 1)"""
-#: Claims and releases, replayed one step of every entity at a time.
-CLAIMS_SQL = """steps AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts, seq) AS rn FROM log WHERE op IN ('claim', 'release')),
-folded AS (
-  SELECT entity_id, ts, seq, agent_id, op, rn, CASE op WHEN 'claim' THEN 'claimed' ELSE 'ignored' END AS outcome, CASE op WHEN 'claim' THEN agent_id END AS claimed_by FROM steps WHERE rn = 1
-  UNION ALL
-  SELECT s.entity_id, s.ts, s.seq, s.agent_id, s.op, s.rn,
-    CASE WHEN s.op = 'release' THEN CASE WHEN f.claimed_by = s.agent_id THEN 'released' ELSE 'ignored' END
-         WHEN f.claimed_by IS NULL THEN 'claimed' WHEN f.claimed_by = s.agent_id THEN 'already_owned_by_self' ELSE 'already_claimed' END,
-    CASE WHEN s.op = 'claim' THEN coalesce(f.claimed_by, s.agent_id) WHEN f.claimed_by = s.agent_id THEN NULL ELSE f.claimed_by END
-  FROM folded f JOIN steps s ON s.entity_id = f.entity_id AND s.rn = f.rn + 1),
-claims AS (SELECT entity_id, arg_max(coalesce(claimed_by, ''), rn) AS claimed_by FROM folded GROUP BY entity_id HAVING arg_max(coalesce(claimed_by, ''), rn) <> '')"""
 NOW, TIMEOUT = 1706659200000, 86400000
 
 
