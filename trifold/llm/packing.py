@@ -44,7 +44,10 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, w
     open_bins = made = 0
     bins, offsets = np.empty(n, np.int64), np.empty(n, np.int64)
     smallest = lengths.min() if n else 0
-    for k, length in enumerate(lengths.tolist()):
+    # a piece that fills a bin has one of its own, and closes it
+    whole = int(np.count_nonzero(lengths >= tokens))
+    bins[:whole], offsets[:whole], made = np.arange(whole), 0, whole
+    for k, length in enumerate(lengths[whole:].tolist(), whole):
         need = np.array([length, 1, length * length], float)
         rest = left[:, :open_bins] - need[:, None]
         fits = np.flatnonzero((rest >= 0).all(axis=0))
