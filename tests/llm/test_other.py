@@ -13,8 +13,8 @@ from tests.llm.test_duplicates import brute_components
 from tests.llm.test_pii import PLAIN, brute_disclosing, ok
 from tests.llm.test_tokens import check_packing
 from tests.oracle import compare, connection
-from trifold.llm import hilbert, licences, queries, quality_fm, toxicity
-from trifold.llm.words import Vocabulary, held_out
+from trifold.llm import hilbert, licences, queries, quality_fm, toxicity, words
+from trifold.llm.words import Vocabulary, held_out, word_hashes
 
 SF = "/root/testdata/sf0.01"
 
@@ -106,6 +106,81 @@ def test_vocabulary():
     assert v.ids(np.array([5, 1, 9, 7], np.uint32)).tolist() == [1, 0, 2, 0]
 
 
+def letters(n):
+    return "".join(chr(97 + int(c)) for c in str(n))
+
+
+def test_toxicity_learns_every_labelled_row(spark, monkeypatch):
+    # more than 2,500 rows of either label; every fifth learned row shares a word of its own with four others
+    monkeypatch.setattr(toxicity, "SHARD", 2500)
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(["word" + letters(w) for w in rng.integers(0, 300, 12)] + (["spite" + letters(i % 7)] if i % 2 else []))) for i in range(9000)]
+    learned = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    own = {i: "own" + letters(k // 5) for k, i in enumerate(learned)}
+    rows = [(i, f"{t} {own.get(i, '')}") for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    out = held_out(F.col("doc_id"), 3, 1)
+    vocabulary, network, common, by = toxicity.fit(docs, labels, out, rounds=3)
+    texts = dict(rows)
+    brute = Vocabulary([word_hashes(texts[i]) for i in learned], 5, 30_000)
+    assert vocabulary.hashes.tolist() == brute.hashes.tolist() and len(brute) > len(learned) // 5
+    rest = [i for i in range(9000) if i not in own]
+    margins = network.margins([vocabulary.ids(word_hashes(texts[i])) for i in rest])
+    assert auc(margins, np.array(rest) % 2) > 0.99 and 0 < common < 1 and by == {}
+    again = toxicity.fit(docs.repartition(5), labels.repartition(3), out, rounds=3)
+    assert np.allclose(again[1].embed, network.embed, atol=1e-5) and np.isclose(again[2], common, atol=1e-4)
+
+
+def test_round_is_the_mean_of_shards(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    hashes = [rng.integers(0, 40, n).astype(np.uint32) for n in rng.integers(0, 20, 300)]
+    shard, y = np.arange(300) // 100, np.array([int(7 in h) for h in hashes])
+    vocabulary = Vocabulary(hashes, 1, 100)
+    spark.createDataFrame([(int(s), int(v), bytearray(h.tobytes())) for s, v, h in zip(shard, y, hashes)], "shard int, label int, words binary").coalesce(1).write.parquet(f"{tmp_path}/t")
+    network, mine = toxicity.TextCNN(len(vocabulary), dims=6, filters=4), []
+    network.start()
+    for s in range(3):
+        at = np.flatnonzero(shard == s)
+        one = toxicity.TextCNN(len(vocabulary), dims=6, filters=4)
+        one.start()
+        moves = one.learn([vocabulary.ids(hashes[i]) for i in at], y[at], np.where(y[at] == 1, 2.0, 0.5), np.random.default_rng((0, s, 0)))
+        mine.append((one, moves))
+    toxicity.train_round(spark.read.parquet(f"{tmp_path}/t"), network, vocabulary, (0.5, 2.0), 0)
+    total = sum(m for _, m in mine)
+    mean = sum(o.embed * m[:, None] for o, m in mine)[total > 0] / total[total > 0, None]
+    assert (total > 0).sum() > 10 and np.allclose(network.embed[total > 0], mean, atol=1e-5)
+    for part in (lambda o: o.dense, lambda o: o.offset, lambda o: o.kernels[2], lambda o: o.bias[1], lambda o: o.squares["k1"], lambda o: o.squares["o"]):
+        assert np.allclose(part(network), sum(part(o) for o, _ in mine) / 3, rtol=1e-4, atol=1e-5)
+
+
+def test_labelled_rows_beyond_broadcast(spark, monkeypatch):
+    docs = spark.range(-3000, 3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    docs = docs.union(docs.filter("doc_id = 7")).union(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
+    labels = spark.range(-9000, 9000, 9).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0).cast("int").alias("toxic")).union(spark.createDataFrame([(7, 1), (7, 0), (None, 1), (8, None), (10, 3)], "doc_id long, toxic int"))
+    out = held_out(F.col("doc_id"), 3, 1)
+    few = words.labelled_rows(docs, labels, "toxic", out, [])
+    monkeypatch.setattr(words, "BROADCAST_ROWS", 0)
+    many = words.labelled_rows(docs, labels, "toxic", out, [])
+    assert few[1] == many[1] and sorted(few[0].collect()) == sorted(many[0].collect())
+    ids = {i for i in range(-9000, 9000, 9) if zlib.crc32(str(i).encode()) % 3 != 1} | ({7} if zlib.crc32(b"7") % 3 != 1 else set())
+    assert {r.doc_id for r in many[0].collect()} == {i for i in ids if -3000 <= i < 3000} and many[1] == len(ids)
+    held = words.may_hold(docs, labels).select("doc_id")
+    assert held.count() < 800 and held.join(labels, "doc_id", "left_semi").count() == docs.join(labels, "doc_id", "left_semi").count()
+
+
+def test_thresholds(spark):
+    rng = np.random.default_rng(3)
+    rows = [(x, int(y), float(s)) for x, y, s in zip(rng.choice(["en", "de", "fr"], 900, p=[0.6, 0.38, 0.02]), rng.integers(0, 2, 900), rng.integers(0, 40, 900) / 40)]
+    rows = [(x, y, min(1.0, s + 0.2 * y)) for x, y, s in rows]
+    got = {r.lang: r.threshold for r in toxicity.best_thresholds(spark.createDataFrame(rows, "lang string, label int, score double"), ["lang"], 20)}
+    assert set(got) == {"en", "de"}
+    for lang, threshold in got.items():
+        y, s = (np.array([r[k] for r in rows if r[0] == lang]) for k in (1, 2))
+        f1 = {t: 2 * y[s >= t].sum() / ((s >= t).sum() + y.sum()) for t in sorted(set(s))}
+        assert np.isclose(2 * y[s >= threshold].sum() / ((s >= threshold).sum() + y.sum()), max(f1.values()))
+
+
 TEXTS = {
     1: ("Some words.\nReleased under the MIT License.\nMore.", "MIT"),
     2: ("LICENSED UNDER THE APACHE LICENSE, VERSION 2.0. x", "Apache-2.0"),

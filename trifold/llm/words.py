@@ -1,8 +1,9 @@
-"""Word features that both classifiers share: hashed words, a frequency-pruned hash vocabulary, labelled samples."""
+"""Word features that both classifiers share: hashed words, a frequency-pruned hash vocabulary, labelled rows and samples."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trifold.llm.common import BROADCAST_ROWS
+
 _WORD = re.compile(rb"[a-z\x80-\xff]+").findall
 
 
@@ -34,6 +37,23 @@ class Vocabulary:
         kept = kept[np.argsort(-counts[kept], kind="stable")[:most]]
         self.hashes = np.sort(hashes[kept])
 
+    @classmethod
+    def counted(cls, words: DataFrame, least: int, most: int) -> Vocabulary:
+        """The vocabulary of all rows of `words`, whose binary column `words` holds a document's hashes, counted by Spark."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                each = [np.unique(np.frombuffer(w, np.uint32)) for w in batch["words"].to_pylist()]
+                if each:
+                    hashes, counts = np.unique(np.concatenate(each), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(counts)], ["hash", "n"])
+
+        total = words.select("words").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        kept = total.filter(F.col("n") >= least).orderBy(F.desc("n"), "hash").limit(most).select("hash").toArrow()
+        found = cls([], least, most)
+        found.hashes = np.sort(kept["hash"].to_numpy().astype(np.uint32))
+        return found
+
     def __len__(self) -> int:
         return len(self.hashes) + 1
 
@@ -44,6 +64,34 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, at + 1, 0)
 
 
+#: Bits of the map that may_hold broadcasts, 4 MB, however many ids there are.
+MAP_BITS = 1 << 25
+_RUN = 1 << 15
+
+
+def may_hold(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most of the rows whose doc_id is not among ids, and with all others, by a bit map of hashes; docs are not moved."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    maps = ids.groupBy((bit / _RUN).cast("int").alias("__run")).agg(F.bitmap_construct_agg(bit % _RUN).alias("__bits"))
+    at = (bit % _RUN).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = docs.withColumn("__of", (bit / _RUN).cast("int")).join(F.broadcast(maps), F.col("__of") == F.col("__run"))
+    return joined.filter(F.getbit(byte, at % 8) == 1).drop("__of", "__run", "__bits")
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, out: Column, keep: list[str]) -> tuple[DataFrame, int]:
+    """All rows of docs with a label of 0 or 1 that are not held out: doc_id, text, label and `keep`; and the number of such labels.
+
+    Beyond BROADCAST_ROWS labels, only the texts of documents that may have one move.
+    """
+    usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~out)
+    ids = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
+    n = ids.count()
+    texts = docs.select("doc_id", "text", *keep)
+    few = n <= BROADCAST_ROWS
+    return (texts if few else may_hold(texts, ids)).join(F.broadcast(ids) if few else ids, "doc_id"), n
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, out: Column, limit: int, keep: list[str]) -> pa.Table:
     """At most `limit` labelled training documents of each label value, by the order of a hash of doc_id.
 
